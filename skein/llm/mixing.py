@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,14 +129,15 @@ def _rate(domains: list[str], steps: list[list[float]], ridge: float, p: str = "
 def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, ridge: float = RIDGE, tolerance: float = 1e-4, most_steps: int = 100) -> tuple[list[list[float]], dict[str, float]]:
     """Projected gradient descent for nonnegative rates r of ``members(tokens, p)``.
 
-    Minimises the squared differences of the expected domain totals
-    sum(r tokens p) from budget x target, each over the domain's total at rate 1,
-    plus ``ridge`` times the token-weighted squares of r - 1; the step is scaled by
-    each document's tokens. In a step the cluster sums one number per domain; the
-    driver sends back as many residuals. ``budget``: tokens in all; by default the
+    Weighted least squares: minimises (s - b)' G^-1 (s - b), where s are the expected
+    domain totals sum(r tokens p), b is budget x target, and G the domains' Gram
+    matrix sum(tokens p p'), so that domains which the classifier confuses don't slow
+    the descent; and ``ridge`` times the token-weighted squares of r - 1. The step is
+    scaled by each document's tokens, negative rates are projected to 0. In a step the
+    cluster sums one number per domain; the driver sends back as many. ``budget``: tokens in all; by default the
     most that needs no domain's average rate over 1.
 
-    Returns the residuals of every step, from which :func:`_rate` computes any
+    Returns the weighted residuals of every step, from which :func:`_rate` computes any
     document's rate again, and the totals reached.
     """
     domains = list(targets)
@@ -148,6 +150,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
         return {d: float(row[d] or 0) for d in domains}
 
     base = now = totals([])
+    gram = members.agg(*[F.sum(F.col("tokens") * F.col(f"p.{a}") * F.col(f"p.{b}")).alias(f"{i}_{j}") for i, a in enumerate(domains) for j, b in enumerate(domains)]).first()
+    inverse = np.linalg.pinv(np.array([float(x or 0) for x in gram]).reshape(len(domains), len(domains)), hermitian=True)
     if budget is None:
         budget = min([base[d] * weight / targets[d] for d in domains if targets[d] > 0 and base[d] > 0], default=0.0)
     goal = {d: budget * targets[d] / weight for d in domains}
@@ -155,7 +159,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     while len(steps) < most_steps:
         if all(abs(now[d] - goal[d]) <= tolerance * max(goal[d], 1e-3 * budget) for d in domains if base[d] > 0):
             break
-        steps.append([(now[d] - goal[d]) / base[d] if base[d] > 0 else 0.0 for d in domains])
+        steps.append((inverse @ np.array([now[d] - goal[d] for d in domains])).tolist())
         now = totals(steps)
     return steps, now
 
@@ -196,6 +200,8 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
     """``docs``, all its columns, each row as often as :func:`mix` says: no join, the rate is computed where the text is."""
     targets = dict(targets or TARGETS)
     absent, weights, _, steps = _fit(docs, labels, targets, budget, most_rows)
-    rated = posteriors(docs, absent, weights, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).withColumn("rate", _rate(list(targets), steps, RIDGE))
-    counted = rated.select("_0", _copies(F.col("rate"), seed, snap).alias("copies")).filter("copies > 0")
+    found = posteriors(docs, absent, weights, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    # a generator of one row: without it the optimizer would push conditions on `copies`, and with them all that they are made of, below
+    found = found.select(F.explode(F.array(F.struct("doc_id", "p", "_0"))).alias("x")).select("x.doc_id", "x.p", "x._0")
+    counted = found.select("_0", _copies(_rate(list(targets), steps, RIDGE), seed, snap).alias("copies"))
     return counted.select(F.explode(F.array_repeat("_0", F.col("copies").cast("int"))).alias("row")).select(*[F.col(f"row.`{c}`") for c in docs.columns])
