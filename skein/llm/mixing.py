@@ -112,18 +112,24 @@ def posteriors(docs: DataFrame, absent: dict[str, float], weights: dict[str, lis
     return out.select("doc_id", "tokens", F.struct(*[F.round(F.col(f"e{k}") / both, 9).alias(d) for k, d in enumerate(domains)]).alias("p"), *kept)
 
 
-def _rate(domains: list[str], steps: list[list[float]], ridge: float, p: str = "p") -> Column:
-    """A document's rate after the given steps of projected gradient descent, from 1; its posteriors are all it depends on."""
+def _walk(domains: list[str], steps: list[list[float]], ridge: float, p: str = "p") -> Column:
+    """A document's (rate, look-ahead) after the given steps of accelerated projected gradient descent, from 1; its posteriors are all it depends on."""
+    at = lambda r, y: F.struct(r.alias("rate"), y.alias("ahead"))
     if not steps:
-        return F.lit(1.0)
+        return at(F.lit(1.0), F.lit(1.0))
     eta = 1 / (1 + ridge)
     seq = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
 
-    def move(r: Column, e: Column) -> Column:
+    def move(x: Column, e: Column) -> Column:
         grad = reduce(lambda a, b: a + b, [F.col(f"{p}.{d}") * F.get(e, F.lit(k)) for k, d in enumerate(domains)])
-        return F.greatest(F.lit(0.0), r - F.lit(eta) * (grad + F.lit(ridge) * (r - F.lit(1.0))))
+        rate = F.greatest(F.lit(0.0), x["ahead"] - F.lit(eta) * (grad + F.lit(ridge) * (x["ahead"] - F.lit(1.0))))
+        return at(rate, rate + F.get(e, F.lit(len(domains))) * (rate - x["rate"]))
+
+    return F.aggregate(seq, at(F.lit(1.0), F.lit(1.0)), move)
 
-    return F.aggregate(seq, F.lit(1.0), move)
+
+def _rate(domains: list[str], steps: list[list[float]], ridge: float, p: str = "p") -> Column:
+    return _walk(domains, steps, ridge, p)["rate"]
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, ridge: float = RIDGE, tolerance: float = 1e-4, most_steps: int = 100) -> tuple[list[list[float]], dict[str, float]]:
@@ -133,23 +139,24 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     domain totals sum(r tokens p), b is budget x target, and G the domains' Gram
     matrix sum(tokens p p'), so that domains which the classifier confuses don't slow
     the descent; and ``ridge`` times the token-weighted squares of r - 1. The step is
-    scaled by each document's tokens, negative rates are projected to 0. In a step the
-    cluster sums one number per domain; the driver sends back as many. ``budget``: tokens in all; by default the
-    most that needs no domain's average rate over 1.
+    scaled by each document's tokens and accelerated (Nesterov), negative rates are
+    projected to 0. In a step the cluster sums two numbers per domain; the driver
+    sends back one. ``budget``: tokens in all; by default the most that needs no
+    domain's average rate over 1.
 
-    Returns the weighted residuals of every step, from which :func:`_rate` computes any
-    document's rate again, and the totals reached.
+    Returns every step's weighted residuals and momentum, from which :func:`_rate`
+    computes any document's rate again, and the totals reached.
     """
     domains = list(targets)
     weight = sum(targets.values())
     members = materialize(members.groupBy("p").agg(F.sum("tokens").alias("tokens")), "posteriors")
-    expected = [F.sum(F.col("r") * F.col("tokens") * F.col(f"p.{d}")).alias(d) for d in domains]
+    expected = [F.sum(F.col(f"x.{k}") * F.col("tokens") * F.col(f"p.{d}")).alias(f"{k}_{d}") for k in ("rate", "ahead") for d in domains]
 
-    def totals(steps: list[list[float]]) -> dict[str, float]:
-        row = members.select("p", "tokens", _rate(domains, steps, ridge).alias("r")).agg(*expected).first()
-        return {d: float(row[d] or 0) for d in domains}
+    def totals(steps: list[list[float]]) -> tuple[dict[str, float], dict[str, float]]:
+        row = members.select("p", "tokens", _walk(domains, steps, ridge).alias("x")).agg(*expected).first()
+        return tuple({d: float(row[f"{k}_{d}"] or 0) for d in domains} for k in ("rate", "ahead"))
 
-    base = now = totals([])
+    base, _ = now, ahead = totals([])
     gram = members.agg(*[F.sum(F.col("tokens") * F.col(f"p.{a}") * F.col(f"p.{b}")).alias(f"{i}_{j}") for i, a in enumerate(domains) for j, b in enumerate(domains)]).first()
     inverse = np.linalg.pinv(np.array([float(x or 0) for x in gram]).reshape(len(domains), len(domains)), hermitian=True)
     if budget is None:
@@ -159,8 +166,8 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
     while len(steps) < most_steps:
         if all(abs(now[d] - goal[d]) <= tolerance * max(goal[d], 1e-3 * budget) for d in domains if base[d] > 0):
             break
-        steps.append((inverse @ np.array([now[d] - goal[d] for d in domains])).tolist())
-        now = totals(steps)
+        steps.append([*(inverse @ np.array([ahead[d] - goal[d] for d in domains])).tolist(), len(steps) / (len(steps) + 3)])
+        now, ahead = totals(steps)
     return steps, now
 
 
