@@ -1,0 +1,139 @@
+"""Random graph models and randomisations. Deterministic for a seed."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..plans.blocks import meet
+from .graph import Graph
+
+
+def _chance(seed: int, *cols: str) -> F.Column:
+    """A number in [0, 1) from the hash of columns: the same wherever and however often it is computed."""
+    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def _nodes(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select("id", F.lit(1.0).alias("w"))
+
+
+def erdos_renyi(spark: SparkSession, n: int, probability: float, seed: int = 1) -> Graph:
+    """Every pair linked independently. Node i draws its number of later neighbours' gaps: pairs not linked are never made."""
+    import math
+
+    if probability >= 1:
+        a = meet(spark.range(n).toDF("src"), "src", spark.range(n).toDF("dst"), "dst").filter("src < dst")
+        return Graph.of(a, _nodes(spark, n))
+    log_q = math.log1p(-probability)
+
+    def draw(frames):
+        for f in frames:
+            rows = []
+            for i in f.id:
+                rng, j = np.random.default_rng([seed, int(i)]), int(i)
+                while True:
+                    j += 1 + int(np.log(max(1 - rng.random(), 1e-300)) / log_q) if log_q < 0 else n
+                    if j >= n:
+                        break
+                    rows.append((i, j))
+            yield pd.DataFrame(rows, columns=["src", "dst"])
+
+    return Graph.of(spark.range(n).mapInPandas(draw, "src long, dst long"), _nodes(spark, n))
+
+
+def configuration(degrees: DataFrame, seed: int = 1) -> Graph:
+    """Stubs of ``degrees(id, k)`` in random order, matched in pairs; loops and repeats go."""
+    stubs = degrees.select("id", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("s")).select("id", _chance(seed, "id", "s").alias("r"))
+    # pairs form within ranges of the random key, so no task orders all stubs
+    r = F.row_number().over(Window.partitionBy(F.floor(F.col("r") * 64)).orderBy("r", "id"))
+    placed = stubs.select("id", F.floor(F.col("r") * 64).alias("cell"), r.alias("n"))
+    a, b = placed.filter("n % 2 = 1").select("cell", F.col("id").alias("src"), F.floor(F.col("n") / 2).alias("p")), placed.filter("n % 2 = 0").select("cell", F.col("id").alias("dst"), F.floor((F.col("n") - 1) / 2).alias("p"))
+    return Graph.of(a.join(b, ["cell", "p"]).select("src", "dst"), degrees.select("id").withColumn("w", F.lit(1.0)))
+
+
+def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int = 1) -> Graph:
+    """A ring with links to the k / 2 next nodes, each rewired with probability p."""
+    ring = spark.range(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(k // 2))).alias("s"))
+    other = F.when(_chance(seed, "src", "s") < p, F.floor(_chance(seed + 1, "src", "s") * n)).otherwise((F.col("src") + F.col("s")) % n)
+    return Graph.of(ring.select("src", other.cast("long").alias("dst")), _nodes(spark, n))
+
+
+def _in_one_task(df: DataFrame, f, schema: str) -> DataFrame:
+    """Inherently sequential growth or rewiring: the whole graph's links in one task."""
+    return df.groupBy(F.lit(0)).applyInPandas(f, schema)
+
+
+def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 1) -> Graph:
+    """Preferential attachment: each new node links to m different ones with probability by degree."""
+
+    def grow(_: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        rows, ends = [], list(range(m))
+        for v in range(m, n):
+            chosen: set[int] = set()
+            while len(chosen) < min(m, v):
+                chosen.add(int(ends[rng.integers(len(ends))]) if ends else int(rng.integers(v)))
+            for u in sorted(chosen):
+                rows.append((v, u))
+                ends += [u, v]
+        return pd.DataFrame(rows, columns=["src", "dst"])
+
+    return Graph.of(_in_one_task(spark.range(1), grow, "src long, dst long"), _nodes(spark, n))
+
+
+def randomly_rewire(g: Graph, swaps: int, seed: int = 1) -> Graph:
+    """Double link swaps that keep every degree."""
+
+    def swap(x: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        e = [tuple(r) for r in x.sort_values(["src", "dst"]).itertuples(index=False)]
+        have, done = {frozenset(p) for p in e}, 0
+        for _ in range(100 * swaps):
+            if done >= swaps or len(e) < 2:
+                break
+            i, j = rng.integers(len(e), size=2)
+            (a, b), (c, d) = e[i], e[j] if rng.random() < 0.5 else e[j][::-1]
+            new = frozenset((a, d)), frozenset((c, b))
+            if len({a, b, c, d}) == 4 and not have & set(new):
+                have -= {frozenset(e[i]), frozenset(e[j])}
+                have |= set(new)
+                e[i], e[j] = (a, d), (c, b)
+                done += 1
+        return pd.DataFrame(e, columns=["src", "dst"])
+
+    return Graph.of(_in_one_task(g.edges.filter("src < dst").select("src", "dst"), swap, "src long, dst long"), g.nodes)
+
+
+def rewire_cross_links(links: DataFrame, swaps: int, seed: int = 1) -> DataFrame:
+    """``src, dst``: swaps of ends that keep both groups' cross degrees."""
+
+    def swap(x: pd.DataFrame) -> pd.DataFrame:
+        rng = np.random.default_rng(seed)
+        e = [tuple(r) for r in x.sort_values(["src", "dst"]).itertuples(index=False)]
+        have, done = set(e), 0
+        for _ in range(100 * swaps):
+            if done >= swaps or len(e) < 2:
+                break
+            i, j = rng.integers(len(e), size=2)
+            (a, b), (c, d) = e[i], e[j]
+            if a != c and b != d and (a, d) not in have and (c, b) not in have:
+                have = (have - {e[i], e[j]}) | {(a, d), (c, b)}
+                e[i], e[j] = (a, d), (c, b)
+                done += 1
+        return pd.DataFrame(e, columns=["src", "dst"])
+
+    return _in_one_task(links.select("src", "dst"), swap, "src long, dst long")
+
+
+def random_cross_links(a: DataFrame, b: DataFrame, density: float, seed: int = 1) -> DataFrame:
+    """``src, dst``: each pair of two groups ``(id)`` linked with probability ``density``."""
+    pairs = meet(a.select(F.col("id").alias("src")), "src", b.select(F.col("id").alias("dst")), "dst")
+    return pairs.filter(_chance(seed, "src", "dst") < density)
+
+
+def links_by_distance(dist: DataFrame, a: float, b: float, seed: int = 1) -> DataFrame:
+    """``src, dst`` from ``dist(i, j, d)``: linked with probability exp(a + b d)."""
+    return dist.filter("i < j").filter(_chance(seed, "i", "j") < F.exp(F.lit(a) + F.lit(b) * F.col("d"))).select(F.col("i").alias("src"), F.col("j").alias("dst"))

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clustering as C
+from ..operators import dense as N
 from ..operators import events as E
 from ..operators import graph as G
 from ..operators import interacting as I
+from ..operators import models as M
 from ..operators import paths as P
 from ..operators import recurrence as R
 from ..operators import series as S
 from ..operators import spatial as X
+from ..operators import surrogates as U
 from ..operators import visibility as V
+from ..streaming.events import windowed_counts
 from . import derive as D
 from .blocks import durable
 
@@ -342,6 +346,45 @@ for _window, _cond in {"retarded": "x.ts - y.ts BETWEEN 0 AND 3", "advanced": "y
     add(f"event_coincidence_{_window}", lambda spark, sf, w=_window: E.coincidence_rate(hours_events(spark, sf), 3.0, w), f"SELECT a.node AS i, b.node AS j, {r6('coalesce(c, 0) / a.n')} AS value FROM nv a JOIN nv b ON a.node <> b.node LEFT JOIN (SELECT x.node AS i, y.node AS j, count(DISTINCT x.ts) AS c FROM ev x JOIN ev y ON x.node <> y.node AND {_cond} GROUP BY 1, 2) h ON h.i = a.node AND h.j = b.node", EVM)
 
 
+# dense and random: checked by rows here, by properties in the tests ------------------------------
+
+on_trade("newman_betweenness", N.newman_betweenness)
+on_trade("arenas_betweenness", N.arenas_betweenness)
+on_trade("msf_synchronizability", N.msf_synchronizability)
+on_trade("spreading", N.spreading)
+on_trade("nsi_spreading", lambda g: N.spreading(g, nsi=True))
+
+
+def circuit(g: G.Graph) -> G.Graph:
+    """The trade network, each link's resistance one over the smaller degree of its ends."""
+    k = G.degree(g)
+    r = g.edges.select("src", "dst").join(k.toDF("src", "a"), "src").join(k.toDF("dst", "b"), "dst").select("src", "dst", (1 / F.least("a", "b")).alias("r"))
+    return G.Graph(g.nodes, r, False)
+
+
+ADM = ", y AS (SELECT src, dst, CAST(least(a.k, b.k) AS DOUBLE) AS y FROM u JOIN du a ON a.id = src JOIN du b ON b.id = dst)"
+on_trade("admittive_degree", lambda g: N.admittive_degree(circuit(g), "r"), f"SELECT id, {r6('coalesce(sum(y), 0)')} AS value FROM n LEFT JOIN y ON src = id GROUP BY id", more=ADM)
+on_trade("neighbors_admittive_degree", lambda g: N.neighbors_admittive_degree(circuit(g), "r"), f"SELECT n.id AS id, {r6('coalesce(sum(y.y * s.s) / sum(y.y), 0)')} AS value FROM n LEFT JOIN y ON src = n.id LEFT JOIN (SELECT src AS id, sum(y) AS s FROM y GROUP BY 1) s ON s.id = dst GROUP BY n.id", more=ADM)
+on_trade("admittance", lambda g: N.admittance(circuit(g), "r"), f"SELECT src AS i, dst AS j, {r6('y')} AS value FROM y", more=ADM)
+on_trade("effective_resistance", lambda g: N.effective_resistance(circuit(g), "r"))
+on_trade("average_effective_resistance", lambda g: N.average_effective_resistance(N.effective_resistance(circuit(g), "r")))
+on_trade("diameter_effective_resistance", lambda g: N.diameter_effective_resistance(N.effective_resistance(circuit(g), "r")))
+on_trade("effective_resistance_closeness", lambda g: N.effective_resistance_closeness(N.effective_resistance(circuit(g), "r")))
+on_trade("vertex_current_flow_betweenness", lambda g: N.vertex_current_flow_betweenness(circuit(g), "r"))
+on_trade("edge_current_flow_betweenness", lambda g: N.edge_current_flow_betweenness(circuit(g), "r"))
+on_trade("randomly_rewire", lambda g: M.randomly_rewire(g, 50).edges.select("src", "dst"))
+on_trade("configuration_model", lambda g: M.configuration(G.degree(g)).edges.select("src", "dst"))
+add("erdos_renyi", lambda spark, sf: M.erdos_renyi(spark, 200, 0.05).edges.select("src", "dst"))
+add("watts_strogatz", lambda spark, sf: M.watts_strogatz(spark, 200, 6, 0.1).edges.select("src", "dst"))
+add("barabasi_albert", lambda spark, sf: M.barabasi_albert(spark, 200, 3).edges.select("src", "dst"))
+on_months("surrogate_fourier", U.fourier)
+on_months("surrogate_aaft", U.aaft)
+on_months("surrogate_refined_aaft", U.refined_aaft)
+on_months("surrogate_twin", lambda o: U.twin_surrogates(o, 3.0))
+on_months("hilbert_coherence", lambda o: U.phase_coherence(U.hilbert(o)))
+add("windowed_event_counts", lambda spark, sf: windowed_counts(D.table(spark, sf, "events")).select("node", F.unix_timestamp("start").alias("start"), "n"), "SELECT event_type AS node, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, count(*) AS n FROM events GROUP BY 1, 2")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The network of nations whose monthly shipping anomalies correlate: degree of each."""
     return QUERIES["pearson_network_degree"](spark, sf_dir)
