@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import ratio
 from .clustering import local_clustering
 from .graph import Graph
-from .paths import betweenness, path_lengths
+from .paths import betweenness, nsi_betweenness, path_lengths
 
 
 def cross_links(g: Graph, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -126,6 +126,17 @@ def internal_betweenness(g: Graph, a: DataFrame) -> DataFrame:
     return betweenness(g, a, a)
 
 
+def nsi_cross_betweenness(g: Graph, a: DataFrame, b: DataFrame) -> DataFrame:
+    return nsi_betweenness(g, a, b)
+
+
+def internal_closeness(g: Graph, a: DataFrame, attribute: str | None = None) -> DataFrame:
+    """``id, value``: closeness within the group's own subgraph, N - 1 of the group for unreachable nodes."""
+    d = internal_path_lengths(g, a, attribute).groupBy(F.col("src").alias("id")).agg(F.sum("d").alias("s"), F.count("*").alias("r"))
+    every = a.select("id").join(d, "id").crossJoin(_one(a, "n"))
+    return every.select("id", ratio(F.col("n") - 1, F.col("s") + (F.col("n") - 1) * (F.col("n") - F.col("r"))).alias("value"))
+
+
 # node-weighted -----------------------------------------------------------------------------------
 
 
@@ -192,3 +203,7 @@ def nsi_cross_average_path_length(g: Graph, a: DataFrame, b: DataFrame, document
     d = d.join(g.nodes.select(F.col("id").alias("src"), F.col("w").alias("wi")), "src").join(g.nodes.select(F.col("id").alias("dst"), F.col("w").alias("wj")), "dst")
     s = d.agg(F.sum(F.col("wi") * F.col("wj") * F.col("d")).alias("s"))
     return s.crossJoin(_total(g, a, "wa")).crossJoin(_total(g, b if documented else a, "wb")).select(ratio(F.col("s"), F.col("wa") * F.col("wb")).alias("value"))
+
+
+def nsi_internal_closeness(g: Graph, a: DataFrame) -> DataFrame:
+    return nsi_cross_closeness(g, a, a)

@@ -63,7 +63,7 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, seed: int = 1)
 
 def _in_one_task(df: DataFrame, f, schema: str) -> DataFrame:
     """Inherently sequential growth or rewiring: the whole graph's links in one task."""
-    return df.groupBy(F.lit(0)).applyInPandas(f, schema)
+    return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda x: f(x.drop(columns="_all")), schema)
 
 
 def barabasi_albert(spark: SparkSession, n: int, m: int, seed: int = 1) -> Graph:

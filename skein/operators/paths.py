@@ -129,8 +129,9 @@ def _search(g: Graph, sources: DataFrame, nsi: bool) -> tuple[DataFrame, int]:
         seen = durable(seen.union(last))
 
 
-def _dependencies(g: Graph, found: DataFrame, top: int, target: Column) -> tuple[DataFrame, DataFrame]:
-    """Back-propagation: (``src, id, delta``, ``src, a, b, flow`` along links)."""
+def _dependencies(g: Graph, found: DataFrame, top: int, target: Column, nsi: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Back-propagation: (``src, id, delta``, ``src, a, b, flow`` along links); n.s.i.: what a node passes back counts by its weight."""
+    w = g.nodes.select(F.col("id").alias("b"), "w")
     e = g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     delta, flows = None, None
     for level in range(top, 0, -1):
@@ -138,6 +139,8 @@ def _dependencies(g: Graph, found: DataFrame, top: int, target: Column) -> tuple
         if delta is not None:
             here = here.join(delta, ["src", "id"], "left")
         here = here.select("src", F.col("id").alias("b"), F.col("sigma").alias("sb"), (target + (F.coalesce("delta", F.lit(0.0)) if delta is not None else F.lit(0.0))).alias("push"))
+        if nsi:
+            here = here.join(w, "b").withColumn("push", F.col("push") * F.col("w"))
         up = found.filter(F.col("level") == level - 1).select("src", F.col("id").alias("a"), F.col("sigma").alias("sa"))
         flow = durable(here.join(e, "b").join(up, ["src", "a"]).select("src", "a", "b", (F.col("sa") / F.col("sb") * F.col("push")).alias("flow")))
         flows = flow if flows is None else flows.union(flow)
@@ -162,6 +165,23 @@ def betweenness(g: Graph, sources: DataFrame | None = None, targets: DataFrame |
     return g.per_node(delta.filter("src != id").groupBy("id").agg((F.sum("delta") * half).alias("value")), "value", 0.0)
 
 
+def nsi_betweenness(g: Graph, sources: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """``id, value``: weight of ordered pairs whose shortest paths pass a node, each path by the product of its inner nodes' weights; undirected graphs only."""
+    if g.directed:
+        raise ValueError("defined for undirected graphs")
+    s = (g.nodes if sources is None else sources).select("id").distinct()
+    found, top = _search(g, s, True)
+    hit = F.lit(1.0)
+    if targets is not None:
+        found = found.join(targets.select("id", F.lit(1.0).alias("t")).distinct(), "id", "left").select("src", "id", "level", "sigma", F.coalesce("t", F.lit(0.0)).alias("t"))
+        hit = F.col("t")
+    delta, _ = _dependencies(g, found, top, hit, True)
+    if delta is None:
+        return g.nodes.select("id", F.lit(0.0).alias("value"))
+    own = g.nodes.select(F.col("id").alias("src"), "w")
+    return g.per_node(delta.filter("src != id").join(own, "src").groupBy("id").agg(F.sum(F.col("delta") * F.col("w")).alias("value")), "value", 0.0)
+
+
 def link_betweenness(g: Graph) -> DataFrame:
     """``src, dst, value``: shortest paths along each link; undirected: both orientations carry the link's value."""
     found, top = _search(g, g.nodes, False)

@@ -93,7 +93,7 @@ def partial_correlation(obs: DataFrame) -> DataFrame:
         i, j = np.meshgrid(ids, ids, indexing="ij")
         return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": s.ravel()})
 
-    return c.groupBy(F.lit(0)).applyInPandas(invert, f"i {dict(c.dtypes)['i']}, j {dict(c.dtypes)['j']}, s double")
+    return c.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(invert, f"i {dict(c.dtypes)['i']}, j {dict(c.dtypes)['j']}, s double")
 
 
 def binned(obs: DataFrame, n_bins: int) -> DataFrame:

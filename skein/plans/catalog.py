@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import climate as K
 from ..operators import clustering as C
 from ..operators import dense as N
 from ..operators import events as E
@@ -143,6 +144,7 @@ on_paths("global_efficiency", P.global_efficiency, f"SELECT {r6('sum(1 / d) / ((
 on_paths("nsi_global_efficiency", P.nsi_global_efficiency, f"SELECT {r6('sum(wi * wj / d) / pow((SELECT sum(w) FROM n), 2)')} AS value FROM dn")
 on_paths("distance_based_measures", P.distance_based_measures, f"SELECT n.id AS id, {r6('count(d) / sum(d)')} AS closeness, {r6('sum(1 / d) / ((SELECT count(*) FROM n) - 1)')} AS harmonic, {r6('sum(pow(2.0, -d)) / ((SELECT count(*) FROM n) - 1)')} AS exponential, max(d) AS eccentricity FROM n LEFT JOIN dist ON src = id AND src <> dst GROUP BY n.id")
 on_trade("betweenness", P.betweenness)
+on_trade("nsi_betweenness", P.nsi_betweenness)
 on_trade("link_betweenness", P.link_betweenness)
 on_trade("pagerank", P.pagerank, None, True)
 on_trade("eigenvector_centrality", P.eigenvector_centrality)
@@ -188,6 +190,12 @@ on_cross_paths("cross_average_path_length", I.cross_average_path_length, f"SELEC
 on_cross_paths("cross_closeness", I.cross_closeness, f"SELECT id, {r6('(SELECT count(*) FROM lb) / (coalesce(sum(d), 0) + ((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM lb) - count(d)))')} AS value FROM la LEFT JOIN cd ON src = id GROUP BY id")
 on_cross_paths("cross_local_efficiency", I.local_efficiency, f"SELECT id, {r6('coalesce(sum(1 / d), 0) / (SELECT count(*) FROM lb)')} AS value FROM la LEFT JOIN cd ON src = id GROUP BY id")
 on_layers("cross_betweenness", I.cross_betweenness)
+on_layers("nsi_cross_betweenness", I.nsi_cross_betweenness)
+on_layers("internal_betweenness", lambda g, a, b: I.internal_betweenness(g, a))
+on_layers("internal_closeness", lambda g, a, b: I.internal_closeness(g, a))
+on_layers("internal_average_path_length", lambda g, a, b: I.internal_average_path_length(g, a))
+on_layers("nsi_cross_closeness", I.nsi_cross_closeness)
+on_layers("cross_global_efficiency", I.cross_global_efficiency)
 on_layers("nsi_cross_average_path_length", I.nsi_cross_average_path_length)
 
 # fields of series ------------------------------------------------------------------------------
@@ -232,6 +240,13 @@ on_months("knn_information", S.knn_information)
 on_months("information_transfer", S.information_transfer)
 on_months("shuffled_surrogate", S.shuffled)
 
+RAIN = ", lo AS (SELECT quantile_disc(x, 0.5) AS v FROM obs), mk AS (SELECT node, t, row_number() OVER (PARTITION BY node ORDER BY x, t) AS r FROM obs, lo WHERE x > v)"
+on_months("top_events_spearman", lambda o: K.rainfall_similarity(o, 0.5), f"SELECT i, j, {r6('CASE WHEN sa > 0 AND sb > 0 THEN c / (sa * sb) END')} AS s FROM (SELECT a.node AS i, b.node AS j, covar_pop(a.r, b.r) AS c, stddev_pop(a.r) AS sa, stddev_pop(b.r) AS sb FROM mk a JOIN mk b USING (t) GROUP BY 1, 2)", RAIN)
+on_months("correlation_strength", lambda o: K.correlation_strength(S.anomaly(o, 12), 6))
+on_months("coupled_similarity", lambda o: K.coupled_similarity(S.anomaly(o.filter("node < 12"), 12), S.anomaly(o.filter("node >= 12"), 12)), f"SELECT i, j, {r6('s')} AS s FROM pc WHERE i < 12 AND j >= 12", CORR)
+on_months("correlation_weighted_closeness", lambda o: K.weighted_closeness(climate(o), "s"))
+on_months("correlation_weighted_average_path_length", lambda o: K.weighted_average_path_length(climate(o), "s"))
+
 # space -----------------------------------------------------------------------------------------
 
 ANG = "acos(greatest(-1.0, least(1.0, sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(a.lon) - radians(b.lon)))))"

@@ -64,6 +64,11 @@ def test_betweenness(spark, g):
     assert col(P.betweenness(g, ids(spark, 2), ids(spark, 3, 5))) == pytest.approx([1, 1, 0, 0, 1, 0])
 
 
+def test_nsi_betweenness(spark, g):
+    assert col(P.nsi_betweenness(g)) == pytest.approx([29.68541738, 7.7128677, 0, 3.09090906, 9.69960462, 0], abs=1e-5)
+    assert col(P.nsi_betweenness(g, ids(spark, 2), ids(spark, 3, 5))) == pytest.approx([3.16666689, 2.34705893, 0, 0, 2.06521743, 0], abs=1e-5)
+
+
 def test_pagerank(g):
     assert col(P.pagerank(g)) == pytest.approx([0.21836231, 0.20440819, 0.14090543, 0.14478497, 0.20466978, 0.08686932], abs=1e-6)
 

@@ -96,3 +96,40 @@ def test_events(spark):
     assert ec[1, 0] == (1.0, 1.0)
     empty = E.events_of(m.filter("false"))
     assert E.event_synchronization(empty).count() == 0
+
+
+def test_partial_correlation(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a, b = rng.standard_normal(200), rng.standard_normal(200)
+    x = np.stack([a, a + 0.5 * b + 0.3 * rng.standard_normal(200), b])
+    obs = spark.createDataFrame([(i, t, float(x[i, t])) for i in range(3) for t in range(200)], "node long, t long, x double")
+    inv = np.linalg.inv(np.corrcoef(x))
+    got = {(r.i, r.j): r.s for r in S.partial_correlation(obs).collect()}
+    assert got[0, 2] == pytest.approx(-inv[0, 2] / math.sqrt(inv[0, 0] * inv[2, 2]))
+
+
+def test_surrogates(spark):
+    import numpy as np
+
+    from skein.operators import surrogates as U
+
+    rng = np.random.default_rng(2)
+    x = np.cumsum(rng.standard_normal(128))
+    obs = spark.createDataFrame([("a", t, float(v)) for t, v in enumerate(x)], "node string, t long, x double")
+    get = lambda d: np.array([r.x for r in d.orderBy("t").collect()])
+    assert np.abs(np.fft.rfft(get(U.fourier(obs)))) == pytest.approx(np.abs(np.fft.rfft(x)))
+    for f in (U.white_noise, U.aaft, U.refined_aaft):
+        assert np.sort(get(f(obs))) == pytest.approx(np.sort(x))
+    assert set(get(U.twin_surrogates(obs, 0.5))) <= set(x.tolist())
+
+
+def test_event_stream_windows(spark):
+    from skein.streaming.events import event_flags, windowed_counts
+
+    rows = [(f"2024-01-01 00:{m:02d}:00", "a") for m in range(0, 60, 10)] + [("2024-01-01 01:30:00", "b")]
+    ev = spark.createDataFrame(rows, "ts string, event_type string").selectExpr("cast(ts as timestamp) ts", "event_type")
+    got = sorted((r.node, r.n) for r in windowed_counts(ev).collect())
+    assert got == [("a", 6), ("b", 1)]
+    assert sorted(r.flag for r in event_flags(windowed_counts(ev), 2).collect()) == [0, 1]
