@@ -177,3 +177,33 @@ def complexity_entropy(emb: DataFrame, dim: int) -> DataFrame:
     rest = (F.lit(n) - F.col("seen")) * (-(u / 2) * math.log2(u / 2))
     top = -0.5 * ((n + 1) / n * math.log2(n + 1) - 2 * math.log2(2 * n) + math.log2(n))
     return s.select((F.col("h") / math.log2(n) * (F.col("m") + rest - F.col("h") / 2 - math.log2(n) / 2) / top).alias("value"))
+
+
+def fixed_neighbors(d: DataFrame, k: int) -> DataFrame:
+    """``i, j``: each state's ``k`` nearest others, made symmetric; the neighbourhoods grow for states that others choose."""
+    near = d.filter("i != j").withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= k).select("i", "j")
+    return near.union(near.select("j", "i")).distinct()
+
+
+def bootstrap_distances(x: DataFrame, n: int, metric: str = "supremum", seed: int = 1) -> DataFrame:
+    """``k, d``: distances of ``n`` random pairs of states ``x(i, v)`` numbered from 0."""
+    size = x.count()
+    pick = lambda s: F.pmod(F.xxhash64(F.lit(seed), F.lit(s), "k"), F.lit(max(size, 1)))
+    draws = x.sparkSession.range(n).toDF("k").select("k", pick(1).alias("p"), pick(2).alias("q"))
+    a, b = x.select(F.col("i").alias("p"), F.col("v").alias("a")), x.select(F.col("i").alias("q"), F.col("v").alias("b"))
+    return draws.join(a, "p").join(b, "q").select("k", distance("a", "b", metric).alias("d"))
+
+
+def fast_threshold_of_rate(x: DataFrame, rate: float, n: int = 10_000, metric: str = "supremum") -> DataFrame:
+    """One row ``threshold``: the rate's quantile of bootstrapped distances."""
+    return bootstrap_distances(x, n, metric).agg(F.percentile("d", F.lit(rate)).alias("threshold"))
+
+
+def resampled_lines(dist: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """``len, cnt`` of ``n`` draws from a line distribution, by where hashed uniform numbers fall in its cumulative shares."""
+    w = Window.orderBy("len")  # one row for each length
+    total = F.sum("cnt").over(Window.partitionBy(F.lit(0)))
+    bounds = F.broadcast(dist.select("len", (F.sum("cnt").over(w) / total).alias("hi"), ((F.sum("cnt").over(w) - F.col("cnt")) / total).alias("lo")))
+    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    draws = dist.sparkSession.range(n).select(u.alias("u")).groupBy(F.floor(F.col("u") * 65536).alias("cell")).agg(F.count("*").alias("c"), F.min("u").alias("u"))
+    return draws.join(bounds, F.expr("u >= lo and u < hi")).groupBy("len").agg(F.sum("c").alias("cnt"))

@@ -133,3 +133,15 @@ def test_event_stream_windows(spark):
     got = sorted((r.node, r.n) for r in windowed_counts(ev).collect())
     assert got == [("a", 6), ("b", 1)]
     assert sorted(r.flag for r in event_flags(windowed_counts(ev), 2).collect()) == [0, 1]
+
+
+def test_recurrence_samples(spark, plot):
+    x, rp = plot
+    d = R.pair_distances(x, x)
+    near = R.fixed_neighbors(d, 3)
+    assert min(r["count"] for r in near.groupBy("i").count().collect()) >= 3
+    assert R.bootstrap_distances(x, 500).count() == 500
+    assert 0 < R.fast_threshold_of_rate(x, 0.4).first()[0] < 2
+    lines = R.vertical_lines(rp)
+    got = hist(R.resampled_lines(lines, 1000))
+    assert sum(got.values()) == 1000 and set(got) <= set(hist(lines))
