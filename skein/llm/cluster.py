@@ -8,7 +8,10 @@ a temporary folder of this process takes its place.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -20,15 +23,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dir: list[str] = []
+_kept: dict[str, dict] = {}
+#: Bytes of text in one Arrow batch between Spark and Python.
+BATCH_BYTES = 8 << 20
 
 
 def ensure_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where only the driver has its folder on the path."""
+    """Let Python workers import this package where only the driver has its folder on the path, and keep their batches small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"  # else thousands of very long texts are one batch
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator. Workers serve many operators in turn: when the owner changes, the former's memory goes back to the system."""
+    if owner not in _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform.startswith("linux"):
+            ctypes.CDLL(None).malloc_trim(0)
+        _kept[owner] = {}
+    return _kept[owner]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +66,15 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/skein-{kind}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, kind: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there: later jobs neither recompute nor lose it."""
+def materialize(df: DataFrame, kind: str, few_files: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it from there: later jobs neither recompute nor lose it.
+
+    ``few_files``: for rows much smaller than what they are computed from; they are
+    dealt anew into partitions of even, advisory size, so that the heavy tasks write
+    no file each.
+    """
     path = new_path(df.sparkSession, kind)
+    df = df.hint("rebalance") if few_files else df
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._skein_path = path
@@ -74,7 +101,7 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary() if column.type == pa.string() else pa.large_binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 2048, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = 4096, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``rows`` rows and about ``most`` bytes of column ``text`` (one row at least)."""
     for batch in batches:
         if not batch.num_rows:

@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import ensure_workers, slices
+from .cluster import ensure_workers, slices, worker_cache
 
 BUCKETS = 1 << 16
 LONGEST = 4
-_letters: list[np.ndarray] = []
 
 
 def letters() -> np.ndarray:
     """For each code point, whether it is a letter; built once in a process."""
-    if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
-    return _letters[0]
+    kept = worker_cache("language")
+    if "letters" not in kept:
+        kept["letters"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return kept["letters"]
 
 
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +71,7 @@ class LanguageModel:
         a = 0
         while a < len(texts):
             b, size = a, 0
-            while b < len(texts) and (b == a or size + len(texts[b]) < 1 << 20):
+            while b < len(texts) and (b == a or size + len(texts[b]) < 1 << 18):
                 size += len(texts[b])
                 b += 1
             bucket, doc = subwords(texts[a:b])

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bytes_of, ensure_workers, materialize, partitions_for, slices
+from .cluster import bytes_of, ensure_workers, materialize, partitions_for, slices, worker_cache
 
 #: The end of a text; no word holds white space.
 END = b"\n"
@@ -123,15 +123,13 @@ class Tables:
         return (self.t1[c1, w].astype(np.float64) + self.t2[c2, w] + self.b[w] - self.z[c1, c2]) / np.log(10)
 
 
-_tables: dict[str, Tables] = {}
-
-
 def tables_of(m: LogBilinear) -> Tables:
     """The worker process's tables of the last model."""
-    if m.key not in _tables:
-        _tables.clear()
-        _tables[m.key] = Tables(m)
-    return _tables[m.key]
+    kept = worker_cache("lm")
+    if m.key not in kept:
+        kept.clear()
+        kept[m.key] = Tables(m)
+    return kept[m.key]
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -66,7 +66,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...]
     """
     chosen = F.broadcast(labelled_sample(labels, most_rows))  # most_rows rows at most
     known = with_features(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id"), "left_semi")).join(chosen, F.col("doc_id") == F.col("label_id"))
-    known = materialize(known.select("domain", "marks"), "labelled")
+    known = materialize(known.select("domain", "marks"), "labelled", few_files=True)
     sizes = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = [sizes.get(d, 0) for d in domains]
     total = max(sum(n), 1)
@@ -173,7 +173,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
 
 def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None, most_rows: int) -> tuple[dict[str, float], dict[str, list[float]], DataFrame, list[list[float]]]:
     absent, weights = fit_classifier(docs, labels, tuple(targets), most_rows)
-    members = materialize(posteriors(docs, absent, weights), "members")
+    members = materialize(posteriors(docs, absent, weights), "members", few_files=True)
     steps, _ = fit_rates(members.select("tokens", "p"), targets, budget)
     return absent, weights, members, steps
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import Forest, bytes_of, connected_components, ensure_workers, materialize, partitions_for, runs, slices
+from .cluster import Forest, bytes_of, connected_components, ensure_workers, materialize, partitions_for, runs, slices, worker_cache
 
 BITS = 64
 
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     ensure_workers(docs.sparkSession)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for batch in slices(batches, "text"):
             fp = np.array([fingerprint(t, shingle, seed) for t in bytes_of(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
@@ -116,7 +117,7 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int
     of null ids only has a null component_id. Empty input: no rows.
     """
     spark = docs.sparkSession
-    fps = materialize(fingerprints(docs, shingle, seed), "fingerprints")
+    fps = materialize(fingerprints(docs, shingle, seed), "fingerprints", few_files=True)
     classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("ones", F.bit_count("fp")), "classes")
     edges = _class_links(classes, radius, tiles, least_tile, most_tile)
     member = connected_components(edges)  # of fp, by any label: the root is turned into the smallest doc_id below
@@ -170,6 +171,7 @@ def _class_links(classes: DataFrame, radius: int, tiles: int, least_tile: int, m
     n = partitions_for(spark)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash")
         for (left, right), group in runs(batches, ["left", "right"]):
             tile, fp = np.asarray(group.column("tile")), np.asarray(group.column("fp")).view(np.uint64)
             a, b = fp[tile == left], None if left == right else fp[tile == right]

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .cluster import worker_cache
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -25,7 +27,6 @@ _OTHER = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028
 MARK = "<|endoftext|>"
 #: Letters that lower-casing and composition leave single letters.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -149,6 +150,7 @@ class WordEncoder:
 
 def encoder(path: str, most: int = 500_000) -> WordEncoder:
     """The worker process's encoder for a file, loaded once."""
-    if (path, most) not in _encoders:
-        _encoders[path, most] = WordEncoder(path, most)
-    return _encoders[path, most]
+    kept = worker_cache("encoder")
+    if (path, most) not in kept:
+        kept[path, most] = WordEncoder(path, most)
+    return kept[path, most]
