@@ -25,6 +25,10 @@ _PIECE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space and separators other than blank and newline, and characters that some definitions count as white space.
 _OTHER = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
 MARK = "<|endoftext|>"
+#: Letters with signs after them, an apostrophe (contractions) and brackets of special tokens aside.
+_SIGNED = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([-!\"#$%&()*+,./:;=?@\\[\\]^_`{|}~]+)")
+#: From here on lower-casing may depend on the neighbours or change a letter's kind.
+_HIGH = re.compile("[\u0130-\U0010ffff]")
 #: Letters that lower-casing and composition leave single letters.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
@@ -59,6 +63,9 @@ class WordEncoder:
         for token, k in vocab.items():
             self.last[k] = token.endswith("</w>")
             self.first[k] = token.startswith("\u0120")  # the byte-level form of a blank
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        #: Words only: white space and upper case don't matter, letters and signs part.
+        self.loose = bool(self.last.any()) and ids("A\n b,") == ids(" a b") + ids(",")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -71,7 +78,8 @@ class WordEncoder:
             known.clear()
             new = all_
         full = len(known) + len(new) > self.most
-        todo = list(new)
+        signed = {w: m.groups() for w in new if (m := _SIGNED.fullmatch(w))} if before and self.loose else {}
+        todo = list(new.difference(signed).union(*signed.values()).difference(known))
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
             for w, ids in self._together(part) if before else ():
@@ -79,7 +87,9 @@ class WordEncoder:
             part = [w for w in part if w not in known] if before else part
             for w, e in zip(part, self.tokenizer.encode_batch_fast([before + w for w in part] if before else part, add_special_tokens=False), strict=True):
                 known[w] = array("I", e.ids).tobytes()
-        return todo if full else []
+        for w, (letters, signs) in signed.items():
+            known[w] = known[letters] + known[signs]
+        return list({*todo, *signed}) if full else []
 
     def _together(self, words: list[str]) -> list[tuple[str, bytes]]:
         """Words after a blank, many to a text, where the ids show the words' borders: cheaper than one by one."""
@@ -125,9 +135,21 @@ class WordEncoder:
                 del known[w]
         return out
 
+    @staticmethod
+    def _plainer(text: str) -> str:
+        """A text with the same ids for a tokenizer of words: lower case, one blank between words; as it is where that isn't certain."""
+        if _OTHER.search(text):
+            return text
+        text = text.replace("\n", " ").strip(" ")
+        while "  " in text:
+            text = text.replace("  ", " ")
+        return text if "<|" in text or _HIGH.search(text) else text.lower()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         even, odd = [], []
+        if self.loose:
+            texts = [self._plainer(t) for t in texts]
         for k, t in enumerate(texts):
             if _OTHER.search(t):
                 out[k] = self.whole(t)
