@@ -130,14 +130,15 @@ def simhash_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all its columns, without the documents that a smaller doc_id of their group stands for.
 
-    Of rows with the same id one stays; documents without an id stay.
+    Of rows with the same id one stays; documents without an id stay. The texts move
+    once, to where the kept ids are, in the same way at every size, and aren't sorted.
     """
     first = simhash_groups(docs, **options).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_doc_id")).agg(F.count("*").alias("times"))
     first = materialize(first, "kept")
     key = docs["doc_id"] == F.col("kept_doc_id")
-    out = docs.join(first.filter("times = 1"), key, "left_semi").union(docs.filter(docs["doc_id"].isNull()))
+    out = docs.join(first.filter("times = 1").hint("shuffle_hash"), key, "left_semi").union(docs.filter(docs["doc_id"].isNull()))
     again = first.filter("times > 1")
-    return out if again.isEmpty() else out.union(docs.join(again, key, "left_semi").dropDuplicates(["doc_id"]))
+    return out if again.isEmpty() else out.union(docs.join(again.hint("shuffle_hash"), key, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def _class_links(classes: DataFrame, radius: int, tiles: int, least_tile: int, most_tile: int) -> DataFrame:
