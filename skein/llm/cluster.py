@@ -36,7 +36,7 @@ def ensure_workers(spark: SparkSession) -> None:
     if root not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"  # else thousands of very long texts are one batch
-    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
