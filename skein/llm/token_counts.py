@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import ensure_workers, slices
+from .cluster import ensure_workers, materialize, slices
 from .tokenizing import encoder, tokenizer_path
 
 BLOCK = 1024
@@ -79,8 +79,8 @@ def context_table(hist: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", extra_tokens: int = 0) -> DataFrame:
-    """:func:`context_table` of the documents' :func:`length_histogram`."""
-    return context_table(length_histogram(docs, tokenizer, extra_tokens))
+    """:func:`context_table` of the documents' :func:`length_histogram`, a row per length that is written once: the table reads it twice."""
+    return context_table(materialize(length_histogram(docs, tokenizer, extra_tokens), "lengths"))
 
 
 def quantile_lengths(table: DataFrame, shares: list[float]) -> DataFrame:
