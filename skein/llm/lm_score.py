@@ -253,21 +253,22 @@ def score_documents(docs: DataFrame, add: float = 0.1, vocabulary: int = 2047, f
     learned = docs.select("doc_id", "text").filter(is_training())
     counts = materialize(count_words(learned), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    ranked = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
-    top = ranked[:vocabulary]
-    m = len(top)
-    in_top = sum(r.c for r in top)
-    unigram = np.array([r.c for r in top] + [total - in_top + add * (kinds - m + 1)], np.float64)
+    ranked = counts.orderBy(F.desc("c"), "word").limit(frequent).toArrow()  # at most `frequent` words, as two columns
+    words, often = ranked.column("word").to_pylist(), np.array(ranked.column("c"), np.int64)
+    m = min(vocabulary, len(words))
+    in_top = int(often[:m].sum())
+    unigram = np.append(often[:m], total - in_top + add * (kinds - m + 1)).astype(np.float64)
     unigram /= unigram.sum()
-    model = train_model(learned, [bytes(r.word) for r in top], unigram, dim, seed)
+    model = train_model(learned, words[:m], unigram, dim, seed)
     log_base = float(np.log10(total + add * (kinds + 1)))
     log_other = float(np.log10(total - in_top + add * (kinds - m + 1)))
-    place_of = spark.sparkContext.broadcast([(bytes(r.word), r.c) for r in ranked])  # at most `frequent` words
+    sent = spark.sparkContext.broadcast((words, often))
+    del ranked, words
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = place_of.value
-        place = _Ids({w: k for k, (w, _) in enumerate(known)})
-        log_c = np.log10(np.array([c for _, c in known] + [1.0]) + add)
+        known, counted = sent.value
+        place = _Ids({w: k for k, w in enumerate(known)})
+        log_c = np.log10(np.append(counted, 1.0) + add)
         tables, uid = tables_of(model), TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text", rows=1024, most=4 << 20):
             texts = bytes_of(batch.column(2))
