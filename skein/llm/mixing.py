@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Collection
 from functools import reduce
 
 import numpy as np
@@ -55,8 +57,8 @@ def labelled_sample(labels: DataFrame, most_rows: int) -> DataFrame:
     return known.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, most_rows: int = 8000, lexicon: int = 200, least_docs: int = 5, least_lift: float = 1.5) -> tuple[dict[str, float], dict[str, list[float]]]:
-    """Bernoulli naive Bayes from labelled documents: (log prior of each domain if no lexicon mark is there, log-odds that each mark adds).
+def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, most_rows: int = 8000, lexicon: int = 200, least_docs: int = 5, least_lift: float = 1.5) -> tuple[dict[str, float], dict[str, list[float]], list[str]]:
+    """Bernoulli naive Bayes from labelled documents: (log prior of each domain if no lexicon mark is there, log-odds that each mark adds, domains that have labels).
 
     Fitted on at most ``most_rows`` labelled rows. The ``lexicon`` marks that tell the
     domains apart best (chi-squared), among those of up to 64 characters in
@@ -87,7 +89,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...]
             absent[d] += math.log(1 - q)
             row.append(math.log(q) - math.log(1 - q))
         weights[r.mark] = row
-    return absent, weights
+    return absent, weights, [d for d in domains if prior[d] > 0]
 
 
 def posteriors(docs: DataFrame, absent: dict[str, float], weights: dict[str, list[float]], *keep: Column) -> DataFrame:
@@ -132,23 +134,29 @@ def _rate(domains: list[str], steps: list[list[float]], ridge: float, p: str = "
     return _walk(domains, steps, ridge, p)["rate"]
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, ridge: float = RIDGE, tolerance: float = 1e-4, most_steps: int = 100) -> tuple[list[list[float]], dict[str, float]]:
+def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | None = None, ridge: float = RIDGE, tolerance: float = 1e-4, most_steps: int = 100, labelled: Collection[str] | None = None) -> tuple[list[list[float]], dict[str, float]]:
     """Projected gradient descent for nonnegative rates r of ``members(tokens, p)``.
 
-    Weighted least squares: minimises (s - b)' G^-1 (s - b), where s are the expected
-    domain totals sum(r tokens p), b is budget x target, and G the domains' Gram
-    matrix sum(tokens p p'), so that domains which the classifier confuses don't slow
-    the descent; and ``ridge`` times the token-weighted squares of r - 1. The step is
-    scaled by each document's tokens and accelerated (Nesterov), negative rates are
-    projected to 0. In a step the cluster sums two numbers per domain; the driver
-    sends back one. ``budget``: tokens in all; by default the most that needs no
-    domain's average rate over 1.
+    With a ``budget`` (tokens in all), weighted least squares: minimises
+    (s - b)' G^-1 (s - b), where s are the expected domain totals sum(r tokens p), b is
+    budget x target, and G the domains' Gram matrix sum(tokens p p'), so that domains
+    which the classifier confuses don't slow the descent; and ``ridge`` times the
+    token-weighted squares of r - 1. By default the wanted domain (of the largest
+    target) sets the budget: b is its own total in proportion to the targets, it has
+    no residual, and a document surely of it stays at rate 1; scarce domains get rates
+    above 1, others below. The step is scaled by each document's tokens and
+    accelerated (Nesterov), negative rates are projected to 0. In a step the cluster
+    sums two numbers per domain; the driver sends back one.
+
+    Domains that aren't in ``labelled`` (default: all are) have no residual either, nor,
+    without a budget, have those that the posteriors can't tell from the wanted one or
+    whose documents are more of it than the target's proportion: a warning names the
+    targets left unmet.
 
     Returns every step's weighted residuals and momentum, from which :func:`_rate`
     computes any document's rate again, and the totals reached.
     """
     domains = list(targets)
-    weight = sum(targets.values())
     members = materialize(members.groupBy("p").agg(F.sum("tokens").alias("tokens")), "posteriors")
     expected = [F.sum(F.col(f"x.{k}") * F.col("tokens") * F.col(f"p.{d}")).alias(f"{k}_{d}") for k in ("rate", "ahead") for d in domains]
 
@@ -157,24 +165,43 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
         return tuple({d: float(row[f"{k}_{d}"] or 0) for d in domains} for k in ("rate", "ahead"))
 
     base, _ = now, ahead = totals([])
-    gram = members.agg(*[F.sum(F.col("tokens") * F.col(f"p.{a}") * F.col(f"p.{b}")).alias(f"{i}_{j}") for i, a in enumerate(domains) for j, b in enumerate(domains)]).first()
-    inverse = np.linalg.pinv(np.array([float(x or 0) for x in gram]).reshape(len(domains), len(domains)), hermitian=True)
+    row = members.agg(*[F.sum(F.col("tokens") * F.col(f"p.{a}") * F.col(f"p.{b}")).alias(f"{i}_{j}") for i, a in enumerate(domains) for j, b in enumerate(domains)]).first()
+    gram = np.array([float(x or 0) for x in row]).reshape(len(domains), len(domains))
+    moved = [k for k, d in enumerate(domains) if base[d] > 0 and (labelled is None or d in labelled)]
+    weight = sum(targets[domains[k]] for k in moved)
+    if not moved or weight <= 0:
+        return [], now
+    scaled = gram
+    share = {d: targets[d] / weight for d in domains}
+    wanted = max(moved, key=lambda k: targets[domains[k]])
     if budget is None:
-        budget = min([base[d] * weight / targets[d] for d in domains if targets[d] > 0 and base[d] > 0], default=0.0)
-    goal = {d: budget * targets[d] / weight for d in domains}
+        ratio = np.array([targets[d] / targets[domains[wanted]] for d in domains])
+        scaled = gram - np.outer(ratio, gram[wanted])
+        apart = 1 - gram[wanted] ** 2 / np.maximum(gram[wanted, wanted] * gram.diagonal(), 1e-300)
+        moved = [k for k in moved if k != wanted and apart[k] > 0.01 and scaled[k, k] > 0]
+    if unmet := [d for k, d in enumerate(domains) if k not in moved and targets[d] > 0 and (budget is not None or k != wanted)]:
+        warnings.warn(f"targets of {', '.join(unmet)} can't be met: no labels, no documents, or none that can be told apart", stacklevel=2)
+    inverse = np.zeros_like(gram)
+    inverse[np.ix_(moved, moved)] = np.linalg.pinv(scaled[np.ix_(moved, moved)], rcond=1e-12)
+
+    def residuals(s: dict[str, float]) -> np.ndarray:
+        goal = [s[domains[wanted]] * targets[d] / targets[domains[wanted]] if budget is None else budget * share[d] for d in domains]
+        return np.array([s[d] - g if k in moved else 0.0 for k, (d, g) in enumerate(zip(domains, goal, strict=True))])
+
     steps: list[list[float]] = []
     while len(steps) < most_steps:
-        if all(abs(now[d] - goal[d]) <= tolerance * max(goal[d], 1e-3 * budget) for d in domains if base[d] > 0):
+        whole = now[domains[wanted]] / share[domains[wanted]] if budget is None else budget
+        if all(abs(x) <= tolerance * max(share[d], 1e-3) * whole for d, x in zip(domains, residuals(now), strict=True)):
             break
-        steps.append([*(inverse @ np.array([ahead[d] - goal[d] for d in domains])).tolist(), len(steps) / (len(steps) + 3)])
+        steps.append([*(inverse @ residuals(ahead)).tolist(), len(steps) / (len(steps) + 3)])
         now, ahead = totals(steps)
     return steps, now
 
 
 def _fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float], budget: float | None, most_rows: int) -> tuple[dict[str, float], dict[str, list[float]], DataFrame, list[list[float]]]:
-    absent, weights = fit_classifier(docs, labels, tuple(targets), most_rows)
+    absent, weights, labelled = fit_classifier(docs, labels, tuple(targets), most_rows)
     members = materialize(posteriors(docs, absent, weights), "members", few_files=True)
-    steps, _ = fit_rates(members.select("tokens", "p"), targets, budget)
+    steps, _ = fit_rates(members.select("tokens", "p"), targets, budget, labelled=labelled)
     return absent, weights, members, steps
 
 
@@ -195,7 +222,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     Returns a row per input row: ``doc_id, tokens, p_<domain>..., rate, copies``.
     Null texts have no tokens and the posteriors of a text without marks; null and
     repeated ids are rows like others (equal ids share their chance); other columns
-    are ignored. Without labels all posteriors are equal. Empty input: no rows.
+    are ignored. Without labels all posteriors are equal and all rates 1; so they are
+    if only one domain has labels and no ``budget`` is given. Empty input: no rows.
     """
     targets = dict(targets or TARGETS)
     _, _, members, steps = _fit(docs, labels, targets, budget, most_rows)

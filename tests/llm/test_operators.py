@@ -366,3 +366,30 @@ def test_projected_gradient_matches_a_direct_solution(spark):
     m = spark.createDataFrame([(int(n), tuple(map(float, x))) for n, x in zip(t, p)], "tokens long, p struct<clean:double,poor:double,toxic:double>")
     _, reached = mixing.fit_rates(m, mixing.TARGETS, budget=5000.0)
     assert list(reached.values()) == pytest.approx([4500, 400, 100], rel=1e-3)
+
+
+def skewed(spark, shares, n=2000):
+    """Documents and labels; ids rise from clean over poor to toxic ones by the shares."""
+    rng, of = np.random.default_rng(3), np.cumsum([round(n * x) for x in shares[:2]])
+    kind = [int(np.searchsorted(of, k, side="right")) for k in range(n)]
+    sign = [[], ["!!!"] * 5 + ["spam", "buynow"], ["idiot", "scum"]]
+    rows = [(k, " ".join(rng.choice(WORDS, 50).tolist() + sign[x])) for k, x in enumerate(kind)]
+    labels = [(k, int(x != 1), int(x == 2)) for k, x in enumerate(kind)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), np.array(kind)
+
+
+def mixed_shares(got, by):
+    total = (np.array([r[by] * r.tokens for r in got])[:, None] * np.array([[r[f"p_{x}"] for x in mixing.TARGETS] for r in got])).sum(axis=0)
+    return total / total.sum()
+
+
+def test_mixing_keeps_clean_documents_beside_scarce_domains(spark):
+    d, lab, kind = skewed(spark, (0.95, 0.04, 0.01))
+    got = sorted(mixing.mix(d, lab).collect(), key=lambda r: r.doc_id)
+    rate = np.array([r.rate for r in got])
+    assert rate[kind == 0] == pytest.approx(1, abs=1e-2) and min(r.copies for r in got) >= 1
+    assert rate[kind == 1].mean() > 1.5 and rate[kind == 2].mean() > 1.5
+    assert mixed_shares(got, "rate") == pytest.approx(list(mixing.TARGETS.values()), abs=1e-3)
+    with pytest.warns(UserWarning, match="poor, toxic"):
+        got = mixing.mix(d, lab.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).collect()
+    assert {(r.rate, r.copies) for r in got} == {(1.0, 1)}
