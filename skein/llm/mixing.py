@@ -211,13 +211,14 @@ def _copies(rate: Column, seed: int, snap: float) -> Column:
     return F.when(F.abs(rate - F.round(rate)) < snap, F.round(rate).cast("long")).otherwise(whole + (chance < rate - whole).cast("long"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, seed: int = 11, snap: float = 0.02, most_rows: int = 8000) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, seed: int = 11, snap: float = 1e-6, most_rows: int = 8000) -> DataFrame:
     """Rates and copies that bring ``docs(doc_id, text)`` to target domain weights.
 
     A classifier from ``labels(doc_id, quality, toxic)`` (:func:`fit_classifier`)
     gives each whole text's domain posteriors; :func:`fit_rates` finds the rates.
     ``copies`` is a rate's whole part, plus one with the rest as probability by the
-    hash of doc_id; a rate within ``snap`` of a whole number is taken for it.
+    hash of doc_id; a rate within ``snap`` (rounding noise) of a whole number is taken
+    for it. So the totals of copies are those of rates but for the draw.
 
     Returns a row per input row: ``doc_id, tokens, p_<domain>..., rate, copies``.
     Null texts have no tokens and the posteriors of a text without marks; null and
@@ -231,7 +232,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     return rated.withColumn("copies", _copies(F.col("rate"), seed, snap))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, seed: int = 11, snap: float = 0.02, most_rows: int = 8000) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, seed: int = 11, snap: float = 1e-6, most_rows: int = 8000) -> DataFrame:
     """``docs``, all its columns, each row as often as :func:`mix` says: no join, the rate is computed where the text is."""
     targets = dict(targets or TARGETS)
     absent, weights, _, steps = _fit(docs, labels, targets, budget, most_rows)

@@ -393,3 +393,16 @@ def test_mixing_keeps_clean_documents_beside_scarce_domains(spark):
     with pytest.warns(UserWarning, match="poor, toxic"):
         got = mixing.mix(d, lab.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))).collect()
     assert {(r.rate, r.copies) for r in got} == {(1.0, 1)}
+
+
+@pytest.mark.parametrize("shares", [(0.3, 0.1, 0.6), (0.95, 0.04, 0.01)])
+def test_copies_meet_the_targets(spark, shares):
+    d, lab, kind = skewed(spark, shares)
+    got = sorted(mixing.mix(d, lab).collect(), key=lambda r: r.doc_id)
+    rate, copies, tokens = (np.array([r[c] for r in got]) for c in ("rate", "copies", "tokens"))
+    for k in range(3):
+        at, rest = kind == k, rate - np.floor(rate)
+        noise = np.sqrt((tokens**2 * rest * (1 - rest))[at].sum())
+        assert abs((tokens * (copies - rate))[at].sum()) <= 4 * noise + 1e-3
+        assert copies[at].sum() > 0
+    assert mixed_shares(got, "copies") == pytest.approx(list(mixing.TARGETS.values()), abs=0.02)
