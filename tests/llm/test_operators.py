@@ -218,6 +218,26 @@ def test_html(spark):
     assert html_extract.extract_main_text(pages.filter("false")).count() == 0
 
 
+STORY = "<h1>Head</h1><p>" + "long story words " * 20 + "</p>"
+SIDE = '<div class="sidebar"><p>Side words here</p></div><div id="comments"><p>First comment</p></div>'
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content with-sidebar">{STORY}{SIDE}</div>',
+        f'<div id="page" class="no-sidebar"><article>{STORY}</article>{SIDE}</div>',
+        f'<div class="search-result"><div class="share-layout"><main>{STORY}</main></div>{SIDE}</div>',
+        f'<div role="main" class="with-sidebar">{STORY}{SIDE}</div>',
+        f'<main><div class="related-layout">{STORY}{SIDE}</div></main>',
+        f'<div class="has-header"><article>{STORY}</article><div id="comments"><article>{"A reader says so. " * 60}</article></div></div>',
+        f'<div>{STORY}</div><div id="comments"><p>{"A reader says so. " * 30}</p></div>',
+    ],
+)
+def test_html_wrappers_with_marks_keep_the_article(page):
+    assert html_extract.extract(page, html_extract.fit_weights({})) == "Head " + ("long story words " * 20).strip()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(-5, 5), max_size=30))
 def test_best_region(scores):
