@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.blocks import cumulative, histogram, ratio
+from ..plans.blocks import cumulative, histogram, meet, ratio
 
 
 @dataclass(frozen=True)
@@ -55,13 +55,14 @@ class Graph:
         return Graph(n, e, self.directed)
 
     def splitted(self, node: int, new: int, proportion: float = 0.5) -> Graph:
-        """``node`` split in two linked twins, the second named ``new`` with that share of the weight."""
+        """``node`` split in two linked twins, the second named ``new`` with that share of the weight. Links keep their attributes; the link between the twins has none (null)."""
         own = self.nodes.filter(F.col("id") == node)
         n = self.nodes.withColumn("w", F.when(F.col("id") == node, F.col("w") * (1 - proportion)).otherwise(F.col("w"))).unionByName(own.withColumns({"id": F.lit(new).cast("long"), "w": F.col("w") * proportion}))
-        e = self.edges.select("src", "dst")
-        twin = e.filter(F.col("src") == node).withColumn("src", F.lit(new).cast("long")).union(e.filter(F.col("dst") == node).withColumn("dst", F.lit(new).cast("long")))
+        e = self.edges
+        twin = e.filter(F.col("src") == node).withColumn("src", F.lit(new).cast("long")).unionByName(e.filter(F.col("dst") == node).withColumn("dst", F.lit(new).cast("long")))
         pair = own.select(F.lit(node).cast("long").alias("src"), F.lit(new).cast("long").alias("dst"))
-        return Graph(n, e.union(twin).union(pair).union(pair.select("dst", "src")), self.directed)
+        links = pair.union(pair.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        return Graph(n, e.unionByName(twin).unionByName(links, allowMissingColumns=True), self.directed)
 
     def subgraph(self, keep: DataFrame) -> Graph:
         """Induced by the nodes ``keep(id)``."""
@@ -101,15 +102,23 @@ def degree(g: Graph, attribute: str | None = None) -> DataFrame:
     return out_degree(g, attribute).join(in_degree(g, attribute), "id").select("id", (F.col("k_out") + F.col("k_in")).alias("k"))
 
 
-def bilateral_degree(g: Graph) -> DataFrame:
-    """``id, k_bil``: neighbours linked in both directions."""
+def bilateral_degree(g: Graph, attribute: str | None = None) -> DataFrame:
+    """``id, k_bil``: neighbours linked in both directions; with an attribute the sum of the products of both links' values."""
+    if attribute is not None:
+        there = g.edges.select("src", "dst", F.col(attribute).alias("a"))
+        back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(attribute).alias("b"))
+        both = there.join(back, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.sum(F.col("a") * F.col("b")).alias("k_bil"))
+        return g.per_node(both, "k_bil", 0.0)
     back = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     both = g.edges.select("src", "dst").join(back, ["src", "dst"], "left_semi")
     return g.per_node(both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k_bil")), "k_bil")
 
 
-def _nsi_sum(g: Graph, own: str, other: str, name: str) -> DataFrame:
+def _nsi_sum(g: Graph, own: str, other: str, name: str, attribute: str | None = None) -> DataFrame:
     w = g.nodes.select(F.col("id").alias(other), "w")
+    if attribute is not None:
+        got = g.edges.join(w, other).groupBy(F.col(own).alias("id")).agg(F.sum(F.col("w") * F.col(attribute)).alias(name))
+        return g.per_node(got, name, 0.0)
     return g.plus().join(w, other).groupBy(F.col(own).alias("id")).agg(F.sum("w").alias(name))
 
 
@@ -117,20 +126,20 @@ def _typical(df: DataFrame, name: str, typical_weight: float | None) -> DataFram
     return df if typical_weight is None else df.select("id", (F.col(name) / typical_weight - 1).alias(name))
 
 
-def nsi_out_degree(g: Graph, typical_weight: float | None = None) -> DataFrame:
-    return _typical(_nsi_sum(g, "src", "dst", "k_out"), "k_out", typical_weight)
+def nsi_out_degree(g: Graph, typical_weight: float | None = None, attribute: str | None = None) -> DataFrame:
+    return _typical(_nsi_sum(g, "src", "dst", "k_out", attribute), "k_out", typical_weight)
 
 
-def nsi_in_degree(g: Graph, typical_weight: float | None = None) -> DataFrame:
-    return _typical(_nsi_sum(g, "dst", "src", "k_in"), "k_in", typical_weight)
+def nsi_in_degree(g: Graph, typical_weight: float | None = None, attribute: str | None = None) -> DataFrame:
+    return _typical(_nsi_sum(g, "dst", "src", "k_in", attribute), "k_in", typical_weight)
 
 
-def nsi_degree(g: Graph, typical_weight: float | None = None) -> DataFrame:
-    """``id, k``: weight of the node and its neighbours; directed: in plus out."""
+def nsi_degree(g: Graph, typical_weight: float | None = None, attribute: str | None = None) -> DataFrame:
+    """``id, k``: weight of the node and its neighbours; directed: in plus out; with an attribute the neighbours' weights times it, without the node itself."""
     if g.directed:
-        both = nsi_out_degree(g).join(nsi_in_degree(g), "id").select("id", (F.col("k_out") + F.col("k_in")).alias("k"))
+        both = nsi_out_degree(g, None, attribute).join(nsi_in_degree(g, None, attribute), "id").select("id", (F.col("k_out") + F.col("k_in")).alias("k"))
     else:
-        both = nsi_out_degree(g).withColumnRenamed("k_out", "k")
+        both = nsi_out_degree(g, None, attribute).withColumnRenamed("k_out", "k")
     return _typical(both, "k", typical_weight)
 
 
@@ -190,13 +199,16 @@ def link_density(g: Graph) -> DataFrame:
 
 
 def common_neighbors(g: Graph) -> DataFrame:
-    """``i, j, common`` of pairs with a common neighbour."""
+    """``i, j, common`` of pairs with a common neighbour: a row for each pair is the result, combined before the shuffle."""
     a, b = g.edges.select(F.col("src").alias("i"), F.col("dst").alias("h")), g.edges.select(F.col("src").alias("h"), F.col("dst").alias("j"))
     return a.join(b, "h").groupBy("i", "j").agg(F.count("*").alias("common"))
 
 
-def matching_index(g: Graph) -> DataFrame:
-    """``i, j, value``: common over all neighbours of the two; pairs without common ones have no row."""
+def matching_index(g: Graph, all_pairs: bool = False) -> DataFrame:
+    """``i, j, value``: common over all neighbours of the two; pairs without common ones have no row, or with ``all_pairs`` 0."""
+    if all_pairs:
+        every = meet(g.nodes.select(F.col("id").alias("i")), "i", g.nodes.select(F.col("id").alias("j")), "j")
+        return every.join(matching_index(g), ["i", "j"], "left").select("i", "j", F.coalesce("value", F.lit(0.0)).alias("value"))
     k = degree(g)
     return common_neighbors(g).join(k.select(F.col("id").alias("i"), F.col("k").alias("ki")), "i").join(k.select(F.col("id").alias("j"), F.col("k").alias("kj")), "j").select("i", "j", ratio(F.col("common"), F.col("ki") + F.col("kj") - F.col("common")).alias("value"))
 
@@ -212,6 +224,8 @@ def nsi_twinness(g: Graph) -> DataFrame:
 
 def laplacian(g: Graph, direction: str = "out", attribute: str | None = None) -> DataFrame:
     """``i, j, value``: degrees on the diagonal, minus the links elsewhere."""
+    if direction not in ("in", "out"):
+        raise ValueError('direction must be "in" or "out"')
     k = (out_degree if direction == "out" else in_degree)(g, attribute).toDF("i", "k")
     v = F.lit(1.0) if attribute is None else F.col(attribute).cast("double")
     return k.select("i", F.col("i").alias("j"), F.col("k").cast("double").alias("value")).union(g.edges.select("src", "dst", -v))
@@ -241,3 +255,8 @@ def with_attribute(g: Graph, values: DataFrame) -> Graph:
     return Graph(g.nodes, g.edges.join(values, ["src", "dst"], "left"), g.directed)
 
 
+def summary(g: Graph) -> str:
+    """Kind, numbers of nodes and links, link density."""
+    n, m = g.nodes.count(), g.edges.count()
+    links = m if g.directed else m // 2
+    return f"{'directed' if g.directed else 'undirected'}, {n} nodes, {links} links, link density {m / (n * (n - 1)) if n > 1 else 0:.3f}"

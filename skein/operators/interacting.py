@@ -41,6 +41,16 @@ def number_cross_links(g: Graph, a: DataFrame, b: DataFrame) -> DataFrame:
     return cross_links(g, a, b).agg(F.count("*").alias("value"))
 
 
+def number_internal_links(g: Graph, a: DataFrame) -> DataFrame:
+    """One row: links within the group, an undirected one once."""
+    return cross_links(g, a, a).agg((F.count("*") if g.directed else F.floor(F.count("*") / 2)).alias("value"))
+
+
+def total_cross_degree(g: Graph, a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: mean cross degree of group a's nodes."""
+    return cross_degree(g, a, b).agg(F.avg("value").alias("value"))
+
+
 def cross_link_density(g: Graph, a: DataFrame, b: DataFrame) -> DataFrame:
     return number_cross_links(g, a, b).crossJoin(_one(a, "na")).crossJoin(_one(b, "nb")).select(ratio(F.col("value"), F.col("na") * F.col("nb")).alias("value"))
 
@@ -85,7 +95,8 @@ def cross_path_lengths(g: Graph, a: DataFrame, b: DataFrame, attribute: str | No
 
 
 def internal_path_lengths(g: Graph, a: DataFrame, attribute: str | None = None) -> DataFrame:
-    return path_lengths(g.subgraph(a), attribute)
+    """``src, dst, d`` among the group's nodes over the whole graph: paths may leave the group."""
+    return cross_path_lengths(g, a, a, attribute)
 
 
 def cross_average_path_length(g: Graph, a: DataFrame, b: DataFrame, attribute: str | None = None) -> DataFrame:
@@ -131,10 +142,10 @@ def nsi_cross_betweenness(g: Graph, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def internal_closeness(g: Graph, a: DataFrame, attribute: str | None = None) -> DataFrame:
-    """``id, value``: closeness within the group's own subgraph, N - 1 of the group for unreachable nodes."""
+    """``id, value``: the group's size less one over the sum of distances within it (paths over the whole graph), N - 1 of the whole graph for unreachable nodes."""
     d = internal_path_lengths(g, a, attribute).groupBy(F.col("src").alias("id")).agg(F.sum("d").alias("s"), F.count("*").alias("r"))
-    every = a.select("id").join(d, "id").crossJoin(_one(a, "n"))
-    return every.select("id", ratio(F.col("n") - 1, F.col("s") + (F.col("n") - 1) * (F.col("n") - F.col("r"))).alias("value"))
+    every = a.select("id").join(d, "id").crossJoin(_one(a, "m")).crossJoin(_one(g.nodes, "n"))
+    return every.select("id", ratio(F.col("m") - 1, F.col("s") + (F.col("n") - 1) * (F.col("m") - F.col("r"))).alias("value"))
 
 
 # node-weighted -----------------------------------------------------------------------------------

@@ -6,29 +6,46 @@ folder: plans stay short and lost executors cost one step.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import durable, ratio
+from ..plans.blocks import discard, durable, meet, ratio
 from .graph import Graph
 
 
 def path_lengths(g: Graph, attribute: str | None = None, sources: DataFrame | None = None) -> DataFrame:
     """``src, dst, d`` of every reachable pair, (i, i, 0) included; from ``sources(id)`` only, if given.
 
-    Hops: breadth-first, a join per level. With a link attribute: relaxation of the
-    distances that the last round lowered, until none falls.
+    Hops: breadth-first, a join per level; levels are written once and never
+    rewritten, and in an undirected graph a level meets only the last two of them.
+    With a link attribute (values >= 0): relaxation of the distances that the last
+    round lowered, until none falls. Repeated and null source ids count once or not
+    at all; an empty graph gives no rows.
     """
-    start = (g.nodes if sources is None else sources).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d"))
-    seen = fresh = durable(start)
+    start = (g.nodes if sources is None else sources).filter("id is not null").select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("d")).distinct()
     e = g.edges.select(F.col("src").alias("dst"), F.col("dst").alias("nxt"), (F.lit(1.0) if attribute is None else F.col(attribute).cast("double")).alias("len"))
+    fresh = durable(start)
+    if attribute is None:
+        levels = [fresh]
+        while True:
+            step = fresh.join(e, "dst").select("src", F.col("nxt").alias("dst"), F.lit(float(len(levels))).alias("d")).distinct()
+            for old in levels if g.directed else levels[-2:]:
+                step = step.join(old.select("src", "dst"), ["src", "dst"], "left_anti")
+            fresh = durable(step)
+            if fresh.isEmpty():
+                return reduce(lambda x, y: x.union(y), levels)
+            levels.append(fresh)
+    seen = fresh
     while True:
         step = fresh.join(e, "dst").groupBy("src", F.col("nxt").alias("dst")).agg(F.min(F.col("d") + F.col("len")).alias("d"))
         old = seen.select("src", "dst", F.col("d").alias("old"))
         fresh = durable(step.join(old, ["src", "dst"], "left").filter("old is null or d < old").select("src", "dst", "d"))
         if fresh.isEmpty():
             return seen
-        seen = durable(seen.union(fresh).groupBy("src", "dst").agg(F.min("d").alias("d"))) if attribute else durable(seen.union(fresh))
+        before, seen = seen, durable(seen.union(fresh).groupBy("src", "dst").agg(F.min("d").alias("d")))
+        discard(before)
 
 
 def _size(g: Graph) -> DataFrame:
@@ -50,8 +67,12 @@ def nsi_average_path_length(g: Graph, dist: DataFrame) -> DataFrame:
     return _weighted(g, dist).agg(ratio(F.sum(p * F.col("d")), F.sum(p), None).alias("value"))
 
 
-def diameter(dist: DataFrame) -> DataFrame:
-    return dist.agg(F.max("d").alias("value"))
+def diameter(dist: DataFrame, g: Graph | None = None) -> DataFrame:
+    """The longest of the shortest paths. With the graph given, the number of its nodes if some pair has no path."""
+    if g is None:
+        return dist.agg(F.max("d").alias("value"))
+    m = dist.agg(F.max("d").alias("d"), F.count("*").alias("r")).crossJoin(_size(g))
+    return m.select(F.when(F.col("r") < F.col("n") * F.col("n"), F.col("n").cast("double")).otherwise(F.col("d")).alias("value"))
 
 
 def closeness(g: Graph, dist: DataFrame, unreachable: str = "component") -> DataFrame:
@@ -83,28 +104,68 @@ def nsi_global_efficiency(g: Graph, dist: DataFrame) -> DataFrame:
     return s.crossJoin(_size(g)).select(ratio(F.col("s"), F.col("total") ** 2).alias("value"))
 
 
-def distance_based_measures(g: Graph, dist: DataFrame) -> DataFrame:
-    """``id`` and each node's closeness, harmonic closeness, exponential closeness and eccentricity in one pass."""
-    d = dist.filter("src != dst").groupBy(F.col("src").alias("id")).agg(F.sum("d").alias("s"), F.sum(1 / F.col("d")).alias("h"), F.sum(F.pow(F.lit(2.0), -F.col("d"))).alias("e"), F.max("d").alias("eccentricity"), F.count("*").alias("r"))
-    out = d.crossJoin(_size(g)).select("id", ratio(F.col("r"), F.col("s")).alias("closeness"), ratio(F.col("h"), F.col("n") - 1).alias("harmonic"), ratio(F.col("e"), F.col("n") - 1).alias("exponential"), "eccentricity")
-    return g.nodes.select("id").join(out, "id", "left")
-
-
-def local_vulnerability(g: Graph, attribute: str | None = None) -> DataFrame:
-    """``id, value``: relative loss of efficiency without the node; all removals in one search keyed by the removed node."""
+def distance_based_measures(g: Graph, dist: DataFrame, unreachable: float | None = None) -> DataFrame:
+    """``id, closeness, harmonic, exponential, nsi_closeness, nsi_harmonic, nsi_exponential`` in one pass; unreachable pairs count as far as ``unreachable`` (default: the number of nodes). In the n.s.i. forms a node is at 1 from itself."""
+    far = F.col("n").cast("double") if unreachable is None else F.lit(float(unreachable))
+    w = g.nodes.select(F.col("id").alias("dst"), F.col("w").alias("wj"))
+    d, other, half = F.col("d"), F.col("src") != F.col("dst"), lambda x: F.pow(F.lit(0.5), x)
+    own = F.when(other, d).otherwise(1.0)
+    sums = dist.join(w, "dst").groupBy(F.col("src").alias("id")).agg(
+        F.count("*").alias("r"), F.sum("wj").alias("rw"), F.sum("d").alias("s"),
+        F.coalesce(F.sum(F.when(other, 1 / F.nullif(d, F.lit(0.0)))), F.lit(0.0)).alias("h"), F.coalesce(F.sum(F.when(other, half(d))), F.lit(0.0)).alias("e"),
+        F.sum(F.col("wj") * own).alias("ns"), F.sum(F.col("wj") / F.nullif(own, F.lit(0.0))).alias("nh"), F.sum(F.col("wj") * half(own)).alias("ne"),
+    )
+    m, mw = F.col("n") - F.col("r"), F.col("total") - F.col("rw")
+    return sums.crossJoin(_size(g)).select(
+        "id",
+        ratio(F.col("n") - 1, F.col("s") + m * far).alias("closeness"),
+        ratio(F.col("h") + m / far, F.col("n") - 1).alias("harmonic"),
+        ratio(F.col("e") + m * half(far), F.col("n") - 1).alias("exponential"),
+        ratio(F.col("total"), F.col("ns") + mw * far).alias("nsi_closeness"),
+        ratio(F.col("nh") + mw / far, F.col("total")).alias("nsi_harmonic"),
+        ratio(F.col("ne") + mw * half(far), F.col("total")).alias("nsi_exponential"),
+    )
+
+
+def distance_based_totals(g: Graph, measures: DataFrame) -> DataFrame:
+    """One row of the whole graph's measures from :func:`distance_based_measures`: ``average_path_length, global_efficiency, nsi_average_path_length, nsi_global_efficiency``."""
+    m = measures.join(g.nodes.select("id", "w"), "id").crossJoin(_size(g))
+    return m.agg(
+        F.avg(ratio(F.lit(1.0), F.col("closeness"))).alias("average_path_length"),
+        F.avg("harmonic").alias("global_efficiency"),
+        F.sum(F.col("w") / F.col("total") * ratio(F.lit(1.0), F.col("nsi_closeness"))).alias("nsi_average_path_length"),
+        F.sum(F.col("w") / F.col("total") * F.col("nsi_harmonic")).alias("nsi_global_efficiency"),
+    )
+
+
+def local_vulnerability(g: Graph, attribute: str | None = None, most_rows: int = 200_000_000) -> DataFrame:
+    """``id, value``: relative loss of efficiency without the node.
+
+    The searches without some of the nodes run together, keyed by the removed node,
+    in as many batches as keep one at about ``most_rows`` rows (removed, source,
+    target); a batch's table goes when its sums are taken. 0 where the whole graph
+    has no path.
+    """
     base = global_efficiency(g, path_lengths(g, attribute)).withColumnRenamed("value", "e0")
     e = g.edges.select("src", "dst", (F.lit(1.0) if attribute is None else F.col(attribute).cast("double")).alias("len"))
-    gone = g.nodes.select(F.col("id").alias("gone"))
-    seen = fresh = durable(gone.join(g.nodes.select(F.col("id").alias("src")), F.expr("gone != src")).select("gone", "src", F.col("src").alias("dst"), F.lit(0.0).alias("d")))  # the measure's own table: a row per removal and source
     hop = e.select(F.col("src").alias("dst"), F.col("dst").alias("nxt"), "len")
-    while True:
-        step = fresh.join(hop, "dst").filter("nxt != gone").groupBy("gone", "src", F.col("nxt").alias("dst")).agg(F.min(F.col("d") + F.col("len")).alias("d"))
-        fresh = durable(step.join(seen.withColumnRenamed("d", "old"), ["gone", "src", "dst"], "left").filter("old is null or d < old").select("gone", "src", "dst", "d"))
-        if fresh.isEmpty():
-            break
-        seen = durable(seen.union(fresh).groupBy("gone", "src", "dst").agg(F.min("d").alias("d")))
-    s = seen.filter("src != dst").groupBy(F.col("gone").alias("id")).agg(F.sum(1 / F.col("d")).alias("s"))
-    rest = g.per_node(s, "s", 0.0).crossJoin(_size(g)).crossJoin(F.broadcast(base))  # one row each
+    n = g.nodes.count()
+    batches = max(1, -(-(n**3) // most_rows))
+    sums = None
+    for k in range(batches):
+        gone = g.nodes.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == k).select(F.col("id").alias("gone"))
+        seen = fresh = durable(meet(gone, "gone", g.nodes.select(F.col("id").alias("src")), "src").filter("gone != src").select("gone", "src", F.col("src").alias("dst"), F.lit(0.0).alias("d")))
+        while True:
+            step = fresh.join(hop, "dst").filter("nxt != gone").groupBy("gone", "src", F.col("nxt").alias("dst")).agg(F.min(F.col("d") + F.col("len")).alias("d"))
+            fresh = durable(step.join(seen.withColumnRenamed("d", "old"), ["gone", "src", "dst"], "left").filter("old is null or d < old").select("gone", "src", "dst", "d"))
+            if fresh.isEmpty():
+                break
+            before, seen = seen, durable(seen.union(fresh).groupBy("gone", "src", "dst").agg(F.min("d").alias("d")))
+            discard(before)
+        part = durable(seen.filter("src != dst").groupBy(F.col("gone").alias("id")).agg(F.sum(1 / F.nullif(F.col("d"), F.lit(0.0))).alias("s")))
+        discard(seen)
+        sums = part if sums is None else sums.union(part)
+    rest = g.per_node(sums, "s", 0.0).crossJoin(_size(g)).crossJoin(F.broadcast(base))  # one row each
     return rest.select("id", ratio(F.col("e0") - F.coalesce(F.col("s") / F.nullif((F.col("n") - 1) * (F.col("n") - 2), F.lit(0)), F.lit(0.0)), F.col("e0")).alias("value"))
 
 
@@ -200,7 +261,7 @@ def link_betweenness(g: Graph) -> DataFrame:
 
 
 def _iterate(x: DataFrame, step, rounds: int, tolerance: float, chunk: int = 5) -> DataFrame:
-    """``x(id, x)`` under ``step`` until no value moves by more than ``tolerance``; a durable table every few rounds."""
+    """``x(id, x)`` under ``step`` until no value moves by more than ``tolerance``; a durable table every few rounds. Raises if they don't settle in ``rounds``."""
     x = durable(x)
     for _ in range(0, rounds, chunk):
         y = x
@@ -208,13 +269,14 @@ def _iterate(x: DataFrame, step, rounds: int, tolerance: float, chunk: int = 5)
             y = step(y)
         y = durable(y)
         moved = y.join(x.withColumnRenamed("x", "o"), "id").agg(F.max(F.abs(F.col("x") - F.col("o")))).first()[0] or 0.0
+        discard(x)
         x = y
         if moved <= tolerance:
-            break
-    return x
+            return x
+    raise RuntimeError(f"values still move by {moved} after {rounds} rounds")
 
 
-def pagerank(g: Graph, damping: float = 0.85, attribute: str | None = None, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def pagerank(g: Graph, damping: float = 0.85, attribute: str | None = None, rounds: int = 1000, tolerance: float = 1e-9) -> DataFrame:
     """``id, value``, summing to 1; nodes without outgoing links spread evenly."""
     e = g.edges.select("src", "dst", (F.lit(1.0) if attribute is None else F.col(attribute).cast("double")).alias("a"))
     share = durable(e.withColumn("p", F.col("a") / F.sum("a").over(Window.partitionBy("src"))).select(F.col("src").alias("id"), "dst", "p"))
@@ -234,7 +296,7 @@ def pagerank(g: Graph, damping: float = 0.85, attribute: str | None = None, roun
     return _iterate(g.nodes.select("id", F.lit(1.0 / max(n, 1)).alias("x")), step, rounds, tolerance).withColumnRenamed("x", "value")
 
 
-def eigenvector_centrality(g: Graph, nsi: bool = False, rounds: int = 200, tolerance: float = 1e-9) -> DataFrame:
+def eigenvector_centrality(g: Graph, nsi: bool = False, rounds: int = 5000, tolerance: float = 1e-9) -> DataFrame:
     """``id, value``, the largest 1; power iteration on A + I, which has A's leading vector; n.s.i.: on the weighted A+."""
     w = g.nodes.select(F.col("id").alias("dst"), F.sqrt("w").alias("w"))
 

@@ -2,22 +2,89 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import length_distribution, meet, ratio, run_lengths
+from ..plans.blocks import ensure_workers, in_one_task, length_distribution, meet, order_statistic, ratio, run_lengths
 from .graph import Graph
 
 EPS = 1e-8
 
 
 def embed(ts: DataFrame, dim: int, tau: int) -> DataFrame:
-    """``i, v`` from ``ts(i, x)``: delay vectors; the last (dim - 1) tau points have none. With a column ``node``, per node."""
+    """``i, v`` from ``ts(i, x)`` with consecutive numbers i: delay vectors (x_i, x_i+tau, ...); the last (dim - 1) tau points have none. With a column ``node``, per node.
+
+    Each value is sent to the vectors that hold it, so no task sees a whole series. A
+    null value stays in its vectors as null (a missing value, see
+    :func:`missing_states`).
+    """
     by = ["node"] if "node" in ts.columns else []
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("i")
-    cols = [F.col("x") if k == 0 else F.lead("x", k * tau).over(w) for k in range(dim)]
-    out = ts.select(*by, "i", F.array(*cols).alias("v"))
-    return out if dim == 1 else out.filter(F.get("v", F.lit(dim - 1)).isNotNull())
+    if dim == 1:
+        return ts.select(*by, "i", F.array(F.col("x").cast("double")).alias("v"))
+    sent = ts.select(*by, F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("k"), "i", F.col("x").cast("double").alias("x")).select(*by, (F.col("i") - F.col("k") * tau).alias("i"), "k", "x")
+    got = sent.groupBy(*by, "i").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("s")).filter(F.size("s") == dim)
+    return got.select(*by, "i", F.transform("s", lambda r: r["x"]).alias("v"))
+
+
+def missing_states(emb: DataFrame) -> DataFrame:
+    """``i`` of the states with a null or NaN component."""
+    return emb.filter(F.exists("v", lambda x: x.isNull() | F.isnan(x))).select("i")
+
+
+def legendre(ts: DataFrame, dim: int = 3, p: int | None = None, tau_w: float | None = None, rounds: int = 5) -> DataFrame:
+    """``i, v``: phase-space coordinates of ``ts(i, t, x)`` (consecutive i) by orthogonal polynomial filters over p points before and after: estimates of the 0th to (dim - 1)th derivatives.
+
+    ``p`` None: by the window width ``tau_w``, the smallest p whose windows are on
+    average as long, at most a quarter of the series; ``tau_w`` None: estimated in
+    ``rounds`` rounds from sqrt(3 var(x) / mean(x'^2)). Each window is one row's array;
+    a window's filter is computed where the row is.
+    """
+    spark = ts.sparkSession
+    ensure_workers(spark)
+    n, lo, hi, var = ts.agg(F.count("*"), F.min("t").cast("double"), F.max("t").cast("double"), F.var_pop("x")).first()
+    if p is None:
+
+        def width(tau: float) -> int:
+            out = 1
+            # mean length of the windows of 2 out + 1 steps: the ends telescope
+            while out < n / 4:
+                m = 2 * out + 1
+                ends = ts.filter((F.col("i") >= F.lit(first + n - m)) | (F.col("i") < F.lit(first + m))).agg(F.sum(F.when(F.col("i") >= first + n - m, F.col("t"))).alias("b"), F.sum(F.when(F.col("i") < first + m, F.col("t"))).alias("a")).first()
+                if n <= m or (ends.b - ends.a) / (n - m) >= tau:
+                    break
+                out += 1
+            return out
+
+        first = ts.agg(F.min("i")).first()[0]
+        if tau_w is None:
+            tau_w = 4 * (hi - lo) / (n - 1)
+            for _ in range(rounds):
+                slope = legendre(ts, 2, width(tau_w)).agg(F.avg(F.get("v", F.lit(1)) ** 2)).first()[0]
+                tau_w = math.sqrt(3 * var / slope) if slope else tau_w
+        p = width(tau_w)
+    m = 2 * p + 1
+    sent = ts.select(F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"), "i", F.col("t").cast("double").alias("t"), F.col("x").cast("double").alias("x"))
+    windows = sent.groupBy((F.col("i") - F.col("k")).alias("i")).agg(F.sort_array(F.collect_list(F.struct("k", "t", "x"))).alias("s")).filter(F.size("s") == m).select("i", F.col("s.t").alias("t"), F.col("s.x").alias("x"))
+
+    def fit(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            t, x = np.stack(f.t.to_numpy()), np.stack(f.x.to_numpy())
+            dt = t - t[:, p : p + 1]
+            basis: list[np.ndarray] = []
+            for j in range(dim):
+                power = dt**j
+                r = power - sum(((power * b).sum(1, keepdims=True) * b for b in basis), np.zeros_like(power))
+                basis.append(r / np.sqrt((r * r).sum(1, keepdims=True)))
+            cols = [(b * x).sum(1) * math.factorial(j) / (b * dt**j).sum(1) for j, b in enumerate(basis)]
+            yield pd.DataFrame({"i": f.i, "v": np.stack(cols, axis=1).tolist()})
+
+    return windows.mapInPandas(fit, "i long, v array<double>")
 
 
 def distance(a: str, b: str, metric: str) -> Column:
@@ -30,19 +97,28 @@ def distance(a: str, b: str, metric: str) -> Column:
     return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def pair_distances(x: DataFrame, y: DataFrame, metric: str = "supremum", blocks: int = 8) -> DataFrame:
-    """``i, j, d`` of all pairs: the distance matrix itself is the result."""
+def pair_distances(x: DataFrame, y: DataFrame, metric: str = "supremum", blocks: int | None = None) -> DataFrame:
+    """``i, j, d`` of all pairs: the distance matrix itself is the result; null where a component is missing."""
     pairs = meet(x.select("i", F.col("v").alias("a")), "i", y.select(F.col("i").alias("j"), F.col("v").alias("b")), "j", blocks)
     return pairs.select("i", "j", distance("a", "b", metric).alias("d"))
 
 
 def recurrences(x: DataFrame, threshold: float, metric: str = "supremum", y: DataFrame | None = None) -> DataFrame:
-    """``i, j`` closer than the threshold. Only points in the same or neighbouring cells of width ``threshold`` of the first component meet."""
+    """``i, j`` closer than the threshold. Only points in the same or neighbouring cells of width ``threshold`` of the two components of the widest range meet, so a constant component doesn't put all in one cell; large cells are joined by sort-merge, which splits them. States with missing values and thresholds of 0 or less give no pairs."""
     y = x if y is None else y
-    cell = lambda c: F.floor(F.get(c, F.lit(0)) / threshold)
-    a = x.select("i", F.col("v").alias("a"), F.explode(F.array(cell("v") - 1, cell("v"), cell("v") + 1)).alias("cell"))
-    b = y.select(F.col("i").alias("j"), F.col("v").alias("b"), cell("v").alias("cell"))
-    return a.join(b, "cell").filter(distance("a", "b", metric) < threshold).select("i", "j")
+    whole = lambda df: df.filter(~F.exists("v", lambda c: c.isNull() | F.isnan(c)))
+    x, y = whole(x), whole(y)
+    if threshold <= 0:
+        return x.select("i", F.col("i").alias("j")).limit(0)
+    ranges = x.select(F.posexplode("v").alias("k", "c")).groupBy("k").agg((F.max("c") - F.min("c")).alias("r")).collect()  # a row for each component
+    wide = [r.k for r in sorted(ranges, key=lambda r: (-r.r, r.k)) if r.r >= threshold][:2] or [0]
+    cell = lambda c, k: F.floor(F.get(c, F.lit(k)) / threshold)
+    a = x.select("i", F.col("v").alias("a"))
+    b = y.select(F.col("i").alias("j"), F.col("v").alias("b"))
+    for n, k in enumerate(wide):
+        a = a.withColumn(f"_c{n}", F.explode(F.array(cell("a", k) - 1, cell("a", k), cell("a", k) + 1)))
+        b = b.withColumn(f"_c{n}", cell("b", k))
+    return a.join(b.hint("merge"), [f"_c{n}" for n in range(len(wide))]).filter(distance("a", "b", metric) < threshold).select("i", "j")
 
 
 def threshold_of_std(x: DataFrame, factor: float) -> DataFrame:
@@ -51,10 +127,20 @@ def threshold_of_std(x: DataFrame, factor: float) -> DataFrame:
 
 
 def threshold_of_rate(d: DataFrame, rate: float) -> DataFrame:
-    """One row ``threshold``: the distance at place int(rate (n - 1)) of all n sorted ones."""
-    v = d.groupBy("d").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return v.withColumns({"upto": F.sum("n").over(Window.orderBy("d")), "place": F.floor(rate * (total - 1))}).filter("upto > place").agg(F.min("d").alias("threshold"))
+    """One row ``threshold``: the distance at place int(rate (n - 1)) of all n sorted ones, by histogram refinement; no row without distances."""
+    t = order_statistic(d, "d", lambda n: int(rate * (n - 1)))
+    return d.sparkSession.createDataFrame([] if t is None else [(t,)], "threshold double")
+
+
+def by_rate(x: DataFrame, rate: float, metric: str = "supremum", y: DataFrame | None = None) -> DataFrame:
+    """``i, j`` at the threshold whose recurrence rate is ``rate``."""
+    t = threshold_of_rate(pair_distances(x, x if y is None else y, metric), rate).first()
+    return recurrences(x, t[0] if t else 0.0, metric, y)
+
+
+def by_std(x: DataFrame, factor: float, metric: str = "supremum") -> DataFrame:
+    """``i, j`` at a threshold of ``factor`` standard deviations of all components."""
+    return recurrences(x, threshold_of_std(x, factor).first()[0] or 0.0, metric)
 
 
 def below(d: DataFrame, threshold: DataFrame) -> DataFrame:
@@ -77,13 +163,32 @@ def recurrence_probability(rp: DataFrame, n: int, lag: int) -> DataFrame:
     return rp.filter(F.col("j") - F.col("i") == lag).agg(F.count("*").alias("c")).select(ratio(F.col("c"), F.lit(n - lag)).alias("value"))
 
 
-def diagonal_lines(rp: DataFrame) -> DataFrame:
-    """``len, cnt``, both triangles; without the main diagonal."""
+def diagonal_lines(rp: DataFrame, missing: DataFrame | None = None, points: DataFrame | None = None) -> DataFrame:
+    """``len, cnt``, both triangles; without the main diagonal. With ``missing(i)`` (and all states ``points(i)``) lines that touch a state with missing values don't count."""
+    if missing is not None:
+        upper = rp.filter("j > i").select((F.col("j") - F.col("i")).alias("line"), "i")
+        # the cells of a missing state: one on each diagonal, as row and as column
+        cells = meet(missing.select(F.col("i").alias("m")), "m", points.select(F.col("i").alias("p")), "p").select(F.abs(F.col("m") - F.col("p")).alias("line"), F.least("m", "p").alias("i")).filter("line > 0").distinct()
+        return length_distribution(_clear_of(upper, "line", "i", cells), 2)
     upper = rp.filter("j > i").select((F.col("j") - F.col("i")).alias("line"), "i")
     return length_distribution(run_lengths(upper, ["line"], "i"), 2)
 
 
-def vertical_lines(rp: DataFrame) -> DataFrame:
+def _clear_of(lines: DataFrame, line: str, at: str, cut: DataFrame) -> DataFrame:
+    """Runs ``line, at`` of consecutive points without those whose first or last point is next to a cell of ``cut(line, at)`` on the same line."""
+    w = Window.partitionBy(line).orderBy(at)
+    run = lines.withColumn("_g", F.col(at) - F.row_number().over(w)).groupBy(line, "_g").agg(F.count("*").alias("len"), F.min(at).alias("a"), F.max(at).alias("b"))
+    for c, d in (("a", -1), ("b", 1)):
+        run = run.join(cut.select(F.col(line), (F.col(at) - d).alias(c)), [line, c], "left_anti")
+    return run.select("len")
+
+
+def vertical_lines(rp: DataFrame, missing: DataFrame | None = None) -> DataFrame:
+    """``len, cnt``; with ``missing(i)`` lines that touch a state with missing values don't count."""
+    if missing is not None:
+        rows = rp.select("i").distinct()
+        cells = meet(rows, "i", missing.select(F.col("i").alias("j")), "j")
+        return length_distribution(_clear_of(rp.select("i", "j"), "i", "j", cells))
     return length_distribution(run_lengths(rp.select("i", "j"), ["i"], "j"))
 
 
@@ -127,11 +232,23 @@ def joint(rp_x: DataFrame, rp_y: DataFrame, lag: int = 0) -> DataFrame:
 
 
 def network(rp: DataFrame, points: DataFrame, directed: bool = False) -> Graph:
-    """The recurrence network: states ``points(i)`` linked by recurrence, without loops."""
+    """The recurrence network: states ``points(i)`` linked by recurrence, without loops; directed for a fixed local rate. States with missing values are left out by leaving them out of ``points``."""
     e = rp.filter("i != j").select(F.col("i").alias("src"), F.col("j").alias("dst"))
     return Graph(points.select(F.col("i").alias("id"), F.lit(1.0).alias("w")), e, directed)
 
 
+def system_offset(x: DataFrame) -> int:
+    """Where the second system's numbers start: one more than the first's largest."""
+    return int(x.agg(F.max("i")).first()[0] or 0) + 1
+
+
+def inter_system_network(x: DataFrame, y: DataFrame, rp_x: DataFrame, rp_y: DataFrame, crp: DataFrame) -> tuple[Graph, DataFrame, DataFrame]:
+    """The graph of both systems' states, and each one's group ``(id)`` for the measures between groups."""
+    at = system_offset(x)
+    a, b = x.select(F.col("i").alias("id")), y.select((F.col("i") + at).alias("id"))
+    return Graph(a.union(b).withColumn("w", F.lit(1.0)), inter_system(rp_x, rp_y, crp, at), False), a, b
+
+
 def inter_system(rp_x: DataFrame, rp_y: DataFrame, crp: DataFrame, offset: int) -> DataFrame:
     """``src, dst``: both systems' recurrences and the cross ones, y's states numbered from ``offset``."""
     y = rp_y.select((F.col("i") + offset).alias("i"), (F.col("j") + offset).alias("j"))
@@ -145,7 +262,7 @@ def single_scale_dimension(clustering: DataFrame) -> DataFrame:
 
 
 def twins(rp: DataFrame, min_dist: int = 7) -> DataFrame:
-    """``i, j``: states with the same, nonempty neighbourhood at least ``min_dist`` apart. Hashes of neighbourhoods meet, then counts of common neighbours decide."""
+    """``i, j``: states with the same, nonempty neighbourhood at least ``min_dist`` apart. Neighbourhoods are equal if their sizes and two 64-bit sums of hashes are."""
     sig = rp.groupBy("i").agg(F.count("*").alias("n"), F.sum(F.xxhash64("j").cast("decimal(38,0)")).alias("h"), F.sum(F.xxhash64(F.lit(9), "j").cast("decimal(38,0)")).alias("h2"))
     a, b = sig.toDF("i", "n", "h", "h2"), sig.toDF("j", "n", "h", "h2")
     return a.join(b, ["n", "h", "h2"]).filter(F.abs(F.col("i") - F.col("j")) > min_dist).select("i", "j")
@@ -158,8 +275,6 @@ def ordinal_patterns(emb: DataFrame) -> DataFrame:
 
 
 def permutation_entropy(emb: DataFrame, dim: int, normalize: bool = True) -> DataFrame:
-    import math
-
     p = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
     top = math.log2(math.factorial(dim)) if normalize else 1.0
     return ordinal_patterns(emb).withColumn("p", p).agg((-F.sum(F.col("p") * F.log2("p")) / top).alias("value"))
@@ -167,8 +282,6 @@ def permutation_entropy(emb: DataFrame, dim: int, normalize: bool = True) -> Dat
 
 def complexity_entropy(emb: DataFrame, dim: int) -> DataFrame:
     """One row: normalised permutation entropy times the Jensen-Shannon divergence from the uniform distribution over its largest value."""
-    import math
-
     n = math.factorial(dim)
     u = 1 / n
     p = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
@@ -180,11 +293,37 @@ def complexity_entropy(emb: DataFrame, dim: int) -> DataFrame:
 
 
 def fixed_neighbors(d: DataFrame, k: int) -> DataFrame:
-    """``i, j``: each state's ``k`` nearest others, made symmetric; the neighbourhoods grow for states that others choose."""
+    """``i, j``: each state's ``k`` nearest others (ties by number), made symmetric."""
     near = d.filter("i != j").withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("r") <= k).select("i", "j")
     return near.union(near.select("j", "i")).distinct()
 
 
+def adaptive_neighbors(d: DataFrame, k: int, order: list[int] | None = None, most_rows: int = 20_000_000) -> DataFrame:
+    """``i, j`` by the adaptive neighbourhood algorithm: in each of ``k`` rounds every state, in ``order`` (default: by number), is linked with its nearest state that isn't linked with it yet, from the round's place among its sorted distances on (place 0 is itself; ties by number).
+
+    Each link changes what later states choose, so the rounds run in one task, over
+    each state's nearest ones; raises if the distances have more than ``most_rows`` rows.
+    """
+
+    def grow(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["i", "d", "j"], kind="stable")
+        near = {i: g.j.to_numpy() for i, g in x.groupby("i")}
+        linked: dict = {i: set() for i in near}
+        for r in range(k):
+            for i in order if order is not None else sorted(near):
+                at = r + 1
+                while at < len(near[i]) and near[i][at] in linked[i]:
+                    at += 1
+                if at < len(near[i]):
+                    j = near[i][at]
+                    linked[i].add(j)
+                    linked[j].add(i)
+        rows = [(i, j) for i, s in linked.items() for j in sorted(s)]
+        return pd.DataFrame(rows, columns=["i", "j"])
+
+    return in_one_task(d.filter("d is not null").select("i", "j", "d"), grow, "i long, j long", most_rows)
+
+
 def bootstrap_distances(x: DataFrame, n: int, metric: str = "supremum", seed: int = 1) -> DataFrame:
     """``k, d``: distances of ``n`` random pairs of states ``x(i, v)`` numbered from 0."""
     size = x.count()

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.blocks import positional_rank, ratio
+from ..plans.blocks import histogram, in_one_task, order_statistic, positional_rank, ratio, series_pairs
 from .graph import Graph
 
 # data ------------------------------------------------------------------------------------------
@@ -31,10 +31,66 @@ def normalize(obs: DataFrame) -> DataFrame:
     return obs.withColumn("x", (F.col("x") - F.avg("x").over(w)) / F.when(s == 0, 1.0).otherwise(s))
 
 
+def small_field(spark) -> DataFrame:
+    """Six test series of ten values: sin(t pi / 10 + node pi / 2)."""
+    return spark.range(60).select((F.col("id") % 6).alias("node"), F.floor(F.col("id") / 6).alias("t")).withColumn("x", F.sin(F.col("t") * math.pi / 10 + F.col("node") * math.pi / 2))
+
+
+def rescale(obs: DataFrame, kind: str) -> DataFrame:
+    """``node, t, x, scale_factor, add_offset`` with x packed into the range of ``int32``, ``int16`` or ``uint8`` (towards zero), as it is for ``float64``, ``float32``; x is the packed value times the factor plus the offset, to within the factor. A constant field has factor 1."""
+    if kind in ("float64", "float32"):
+        return obs.select("node", "t", F.col("x").cast("double" if kind == "float64" else "float").alias("x"), F.lit(1.0).alias("scale_factor"), F.lit(0.0).alias("add_offset"))
+    if kind not in ("int32", "int16", "uint8"):
+        raise ValueError(f"data type {kind} not supported")
+    span = F.broadcast(obs.agg(F.min("x").cast("double").alias("lo"), F.max("x").cast("double").alias("hi")))  # one row
+    steps = {"int32": 2.0**32 - 2, "int16": 2.0**16 - 2, "uint8": 2.0**8 - 1}[kind]
+    factor = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / steps).otherwise(1.0)
+    offset = F.col("lo") if kind == "uint8" else (F.col("hi") + F.col("lo")) / 2
+    packed = obs.crossJoin(span).withColumns({"scale_factor": factor, "add_offset": offset})
+    v = (F.col("x") - F.col("add_offset")) / F.col("scale_factor")
+    return packed.select("node", "t", F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("int").alias("x"), "scale_factor", "add_offset")
+
+
+def next_power_2(n: float) -> int:
+    """The smallest power of two that is n or more, 2 at least."""
+    return max(2, 1 << max(0, math.ceil(math.log2(n)) if n > 0 else 0))
+
+
+def zero_pad(obs: DataFrame, step: int = 1) -> DataFrame:
+    """Each series with zeros before and after its values so that its length is a power of two; of an odd number of zeros one more comes after. Times are ``step`` apart."""
+    n = obs.groupBy("node").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    size = F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double")))), F.lit(2.0)).cast("long")
+    extra = n.withColumn("m", size - F.col("n")).withColumn("front", F.floor(F.col("m") / 2))
+    offsets = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("k")
+    zeros = extra.filter("m > 0").select("node", "lo", "hi", "front", offsets).select("node", F.when(F.col("k") <= F.col("front"), F.col("lo") - F.col("k") * step).otherwise(F.col("hi") + (F.col("k") - F.col("front")) * step).alias("t"), F.lit(0.0).alias("x"))
+    return obs.select("node", "t", "x").unionByName(zeros)
+
+
+def cos_window(obs: DataFrame, gamma: float) -> DataFrame:
+    """``node, t, taper``: 1 but for the first and last int(gamma n / 2) values of each series, where it rises and falls as a cosine."""
+    w = Window.partitionBy("node")
+    r, n = F.row_number().over(w.orderBy("t")) - 1, F.count("*").over(w)
+    d = F.floor(F.lit(float(gamma)) * n / 2)
+    at = F.least(r, n - 1 - r)
+    return obs.select("node", "t", F.when(at < d, 0.5 * (1 + F.cos(at * math.pi / d + math.pi))).otherwise(1.0).alias("taper"))
+
+
 def phase_indices(times: DataFrame, cycle: int) -> DataFrame:
     """``phase, t`` over the whole cycles of time indices ``times(t)``."""
-    whole = F.floor((F.max("t").over(Window.partitionBy(F.lit(0))) + 1) / cycle) * cycle
-    return times.select("t").distinct().withColumn("whole", whole).filter("t < whole").select((F.col("t") % cycle).alias("phase"), "t")
+    last = F.broadcast(times.agg((F.floor((F.max("t") + 1) / cycle) * cycle).alias("whole")))  # one row
+    return times.select("t").distinct().crossJoin(last).filter("t < whole").select((F.col("t") % cycle).alias("phase"), "t")
+
+
+def selected_phases(times: DataFrame, cycle: int, phases: list[int]) -> DataFrame:
+    """``t`` of the given phases over the whole cycles."""
+    return phase_indices(times, cycle).filter(F.col("phase").isin(phases)).select("t")
+
+
+def selected_months(times: DataFrame, cycle: int, months: list[int]) -> DataFrame:
+    """``t`` of the given months: of cycles of 12 steps, or of 360 (30 days a month)."""
+    if cycle not in (12, 360):
+        raise ValueError("months need a cycle of 12 or 360 steps")
+    return selected_phases(times, cycle, months if cycle == 12 else [30 * m + d for m in months for d in range(30)])
 
 
 def phase_mean(obs: DataFrame, cycle: int) -> DataFrame:
@@ -62,25 +118,37 @@ def ranks(obs: DataFrame) -> DataFrame:
 # similarity: (i, j, s) -------------------------------------------------------------------------
 
 
-def pairs(obs: DataFrame, tau: int = 0) -> DataFrame:
-    """``i, j, t, x, y``: node i at t beside node j at t + tau."""
-    a = obs.select(F.col("node").alias("i"), "t", "x")
-    b = obs.select(F.col("node").alias("j"), (F.col("t") - tau).alias("t"), F.col("x").alias("y"))
-    return a.join(b, "t")
+def correlation_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of every row of ``a`` with every row of ``b`` over the columns where both have values; NaN without variance."""
+    ma, mb = ~np.isnan(a), ~np.isnan(b)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if ma.all() and mb.all():
+            za, zb = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+            norm = np.sqrt(np.outer((za * za).sum(1), (zb * zb).sum(1)))
+            return np.where(norm > 0, za @ zb.T / norm, np.nan)
+        # means first, so that the sums of squares don't cancel
+        x = np.where(ma, a - np.nanmean(a, axis=1, keepdims=True), 0.0)
+        y = np.where(mb, b - np.nanmean(b, axis=1, keepdims=True), 0.0)
+        fa, fb = ma.astype(float), mb.astype(float)
+        n, sx, sy = fa @ fb.T, x @ fb.T, fa @ y.T
+        vx, vy = (x * x) @ fb.T - sx * sx / n, fa @ (y * y).T - sy * sy / n
+        return np.where((vx > 0) & (vy > 0), (x @ y.T - sx * sy / n) / np.sqrt(vx * vy), np.nan)
 
 
 def pearson(obs: DataFrame) -> DataFrame:
-    """Correlation of every pair; null for constant series. Sums per pair are combined before the shuffle."""
-    p = pairs(obs).groupBy("i", "j").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("a"), F.stddev_pop("y").alias("b"))
-    return p.select("i", "j", ratio(F.col("c"), F.col("a") * F.col("b"), None).alias("s"))
+    """``i, j, s``: correlation of every pair over their common times; null for constant series."""
+    return series_pairs(obs, lambda a, b: {"s": correlation_of(a, b)}, "s double")
 
 
 def spearman(obs: DataFrame) -> DataFrame:
     return pearson(ranks(obs))
 
 
-def partial_correlation(obs: DataFrame) -> DataFrame:
-    """``i, j, s``: correlation given all other nodes, from the inverse of the correlation matrix (nodes squared numbers in one task)."""
+def partial_correlation(obs: DataFrame, most_bytes: int = 2 << 30) -> DataFrame:
+    """``i, j, s``: correlation given all other nodes, from the inverse of the correlation matrix (nodes squared numbers in one task; raises if its matrices are over ``most_bytes``)."""
+    n = obs.select("node").distinct().count()
+    if 8 * n * n * 5 > most_bytes:
+        raise ValueError(f"{n} nodes need matrices of over {most_bytes} bytes")
     c = pearson(obs).select("i", "j", F.coalesce("s", F.lit(0.0)).alias("s"))
 
     def invert(g: pd.DataFrame) -> pd.DataFrame:
@@ -93,7 +161,8 @@ def partial_correlation(obs: DataFrame) -> DataFrame:
         i, j = np.meshgrid(ids, ids, indexing="ij")
         return pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": s.ravel()})
 
-    return c.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(invert, f"i {dict(c.dtypes)['i']}, j {dict(c.dtypes)['j']}, s double")
+    kind = dict(c.dtypes)
+    return in_one_task(c, invert, f"i {kind['i']}, j {kind['j']}, s double", n * n)
 
 
 def binned(obs: DataFrame, n_bins: int) -> DataFrame:
@@ -111,35 +180,30 @@ def quantile_binned(obs: DataFrame, n_bins: int) -> DataFrame:
     return ranked.select("node", "t", F.floor((F.max("r").over(Window.partitionBy("node", "x"))) / F.col("step")).cast("int").alias("b"))
 
 
-def mutual_information(bins: DataFrame, tau: int = 0) -> DataFrame:
-    """``i, j, s``: sum of p ln(p / (p_i p_j)) over joint bins of ``bins(node, t, b)``."""
-    both = pairs(bins.withColumnRenamed("b", "x"), tau)
-    joint = both.groupBy("i", "j", "x", "y").agg(F.count("*").alias("n"))
-    w = lambda *c: Window.partitionBy(*c)
-    m = joint.withColumns({"nx": F.sum("n").over(w("i", "j", "x")), "ny": F.sum("n").over(w("i", "j", "y")), "t": F.sum("n").over(w("i", "j"))})
-    return m.groupBy("i", "j").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("nx") * F.col("ny")))).alias("s"))
+def joint_information(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of p ln(p / (p_i p_j)) over the joint symbols of every row of ``a`` and of ``b`` (small whole numbers, NaN: none), by products of their indicators."""
+    size = int(max(np.nanmax(a, initial=0), np.nanmax(b, initial=0))) + 1
+    cols = np.arange(size)
+    out = np.empty((len(a), len(b)))
+    step = max(1, (4 << 20) // max(size * a.shape[1], 1))
+    for q in range(0, len(b), step):
+        y = (b[q : q + step, None, :] == cols[:, None]).astype(np.float32)
+        for p in range(len(a)):
+            x = (a[p] == cols[:, None]).astype(np.float32)
+            n = np.einsum("kt,jlt->jkl", x, y, optimize=True).astype(float)
+            total = n.sum((1, 2), keepdims=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                term = n / total * np.log(n * total / (n.sum(2, keepdims=True) * n.sum(1, keepdims=True)))
+            out[p, q : q + step] = np.nansum(term, axis=(1, 2))
+    return out
 
 
-def gaussian_information(c: DataFrame) -> DataFrame:
-    return c.select("i", "j", F.when(F.abs("s") < 1, -0.5 * F.log(1 - F.col("s") ** 2)).alias("s"))
-
-
-# lagged coupling -------------------------------------------------------------------------------
-
-
-def cross_correlation(obs: DataFrame, tau_max: int) -> DataFrame:
-    """``i, j, tau, s``: correlation of i at t - tau with j at t for tau 0..tau_max, each lag standardised on its own, over the times that allow every lag."""
-    ends = F.broadcast(obs.agg((F.min("t") + tau_max).alias("from")))  # one row
-    now = obs.crossJoin(ends).filter(F.col("t") >= F.col("from")).select(F.col("node").alias("j"), "t", F.col("x").alias("y"))
-    lagged = obs.select(F.col("node").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(tau_max))).alias("tau"), F.col("t").alias("t0"), "x").select("i", "tau", (F.col("t0") + F.col("tau")).alias("t"), "x")
-    p = lagged.join(now, "t").groupBy("i", "j", "tau").agg(F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("a"), F.stddev_pop("y").alias("b"))
-    return p.select("i", "j", "tau", ratio(F.col("c"), F.col("a") * F.col("b")).alias("s"))
-
-
-def strongest_lag(cc: DataFrame) -> DataFrame:
-    """``i, j, s, lag`` with the largest absolute value; of equal ones the largest lag."""
-    best = F.max_by(F.struct("s", "tau"), F.struct(F.round(F.abs("s"), 12), F.col("tau")))
-    return cc.groupBy("i", "j").agg(best.alias("b")).select("i", "j", F.col("b.s").alias("s"), F.col("b.tau").alias("lag"))
+def mutual_information(bins: DataFrame, tau: int = 0) -> DataFrame:
+    """``i, j, s``: mutual information of the symbols ``bins(node, t, b)`` of i and of j ``tau`` steps later."""
+    obs = bins.select("node", "t", F.col("b").cast("double").alias("x"))
+    if not tau:
+        return series_pairs(obs, lambda a, b: {"s": joint_information(a, b)}, "s double")
+    return series_pairs(obs, lambda a, b: {"s": joint_information(a[:, :-tau], b[:, tau:])}, "s double", symmetric=False)
 
 
 def summed_lags(cc: DataFrame) -> DataFrame:
@@ -153,63 +217,6 @@ def symmetrize_by_absmax(m: DataFrame) -> DataFrame:
     return m.join(back, ["i", "j"]).select("i", "j", F.when(take, F.col("s")).otherwise(F.col("s2")).alias("s"), F.when(take, F.col("lag")).otherwise(-F.col("lag2")).alias("lag"))
 
 
-def knn_information(obs: DataFrame, k: int = 10, seed: int = 0) -> DataFrame:
-    """``i, j, s``: nearest-neighbour (max-norm) estimate of mutual information of ranks-free standardised pairs, one task per pair."""
-    z = normalize(obs)
-    p = pairs(z).filter("i < j").select("i", "j", "t", "x", "y")
-
-    def digamma(n: np.ndarray) -> np.ndarray:
-        n = np.asarray(n, float)
-        out = np.zeros_like(n)
-        while (n < 6).any():
-            low = n < 6
-            out[low] -= 1 / n[low]
-            n = np.where(low, n + 1, n)
-        return out + np.log(n) - 1 / (2 * n) - 1 / (12 * n**2) + 1 / (120 * n**4) - 1 / (252 * n**6)
-
-    def estimate(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        rng = np.random.default_rng(seed)
-        v = g[["x", "y"]].to_numpy() + 1e-10 * rng.random((len(g), 2))
-        n, total = len(v), 0.0
-        if n <= k:
-            return pd.DataFrame({"i": [g.i.iloc[0]], "j": [g.j.iloc[0]], "s": [0.0]})
-        for a in range(0, n, 512):
-            dx, dy = np.abs(v[a : a + 512, :1] - v[:, 0]), np.abs(v[a : a + 512, 1:] - v[:, 1])
-            eps = np.partition(np.maximum(dx, dy), k, axis=1)[:, k][:, None]
-            total += (digamma((dx < eps).sum(1)) + digamma((dy < eps).sum(1))).sum()
-        s = digamma(np.array([k]))[0] + digamma(np.array([n]))[0] - total / n
-        return pd.DataFrame({"i": [g.i.iloc[0]], "j": [g.j.iloc[0]], "s": [s]})
-
-    kind = dict(p.dtypes)
-    return p.groupBy("i", "j").applyInPandas(estimate, f"i {kind['i']}, j {kind['j']}, s double")
-
-
-def information_transfer(obs: DataFrame, tau: int = 1, both_pasts: bool = False) -> DataFrame:
-    """``i, j, s``: Gaussian transfer from i at t - tau to j at t given j's past (and i's, if asked): -ln(1 - partial correlation squared) / 2."""
-    a = obs.select(F.col("node").alias("i"), (F.col("t") + tau).alias("t"), F.col("x"))
-    a2 = obs.select(F.col("node").alias("i"), (F.col("t") + tau + 1).alias("t"), F.col("x").alias("u"))
-    b = obs.select(F.col("node").alias("j"), "t", F.col("x").alias("y"))
-    b2 = obs.select(F.col("node").alias("j"), (F.col("t") + 1).alias("t"), F.col("x").alias("v"))
-    rows = a.join(a2, ["i", "t"]).join(b.join(b2, ["j", "t"]), "t").filter("i != j")
-    names = ["x", "y", "v", *(["u"] if both_pasts else [])]
-    cov = rows.groupBy("i", "j").agg(F.array(*[F.covar_pop(p, q) for p in names for q in names]).alias("c"))
-    n = len(names)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in batches:
-            out = []
-            for c in f.c:
-                inv = np.linalg.pinv(np.asarray(c, float).reshape(n, n))
-                d = inv[0, 0] * inv[1, 1]
-                r = -inv[0, 1] / np.sqrt(d) if d > 0 else 0.0
-                out.append(-0.5 * np.log(max(1 - r * r, 1e-15)))
-            yield pd.DataFrame({"i": f.i, "j": f.j, "s": out})
-
-    kind = dict(cov.dtypes)
-    return cov.mapInPandas(partial, f"i {kind['i']}, j {kind['j']}, s double")
-
-
 # networks from similarity ------------------------------------------------------------------------
 
 
@@ -225,23 +232,13 @@ def threshold_network(sim: DataFrame, threshold: float | DataFrame, nodes: DataF
 
 
 def threshold_from_link_density(sim: DataFrame, density: float) -> DataFrame:
-    """One row ``threshold``: the similarity at place int((1 - density)(N^2 - N)) of all N^2 sorted ones.
-
-    Counts per value are summed before they are ordered, so one task sees each
-    distinct value once.
-    """
-    v = sim.groupBy("s").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    n = F.sqrt(total.cast("double"))
-    place = F.floor((1 - density) * (n * n - n))
-    upto = F.sum("n").over(Window.orderBy("s"))
-    return v.withColumns({"upto": upto, "place": place}).filter("upto > place").agg(F.min("s").alias("threshold"))
+    """One row ``threshold``: the similarity at place int((1 - density)(N^2 - N)) of all N^2 sorted ones (the diagonal included), by histogram refinement; no row without similarities."""
+    t = order_statistic(sim, "s", lambda n: int((1 - density) * (n - math.isqrt(n))))
+    return sim.sparkSession.createDataFrame([] if t is None else [(t,)], "threshold double")
 
 
 def link_density_function(sim: DataFrame, n_bins: int) -> DataFrame:
     """``bin, lower, density``: share of similarities in lower bins, the density of links below each threshold."""
-    from ..plans.blocks import histogram
-
     h = histogram(sim, "s", n_bins)
     before = F.sum("share").over(Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     return h.select("bin", "lower", F.coalesce(before, F.lit(0.0)).alias("density"))
@@ -257,4 +254,16 @@ def correlation_distance(sim: DataFrame, dist: DataFrame) -> DataFrame:
 
 
 def inverse_correlation_distance(sim: DataFrame, dist: DataFrame) -> DataFrame:
-    return correlation_distance(sim, dist).select("i", "j", ratio(F.lit(1.0), F.col("value")).alias("value"))
+    """``i, j, value``: one over similarity times distance, 0 on the diagonal."""
+    return correlation_distance(sim, dist).select("i", "j", F.when(F.col("i") == F.col("j"), 0.0).otherwise(ratio(F.lit(1.0), F.col("value"), None)).alias("value"))
+
+
+def non_local_network(sim: DataFrame, dist: DataFrame, threshold: float, a: float = 20.0, d_min: float = 0.05) -> Graph:
+    """:func:`threshold_network` of the similarities damped where nodes are close."""
+    return threshold_network(non_local(sim, dist, a, d_min), threshold)
+
+
+def correlation_distance_network(g: Graph, sim: DataFrame, dist: DataFrame) -> Graph:
+    """The graph with link attribute ``inv``: one over similarity times distance, a length for weighted paths."""
+    v = inverse_correlation_distance(sim, dist).toDF("src", "dst", "inv")
+    return Graph(g.nodes, g.edges.select("src", "dst").join(v, ["src", "dst"]), g.directed)

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import shuffled as white_noise  # noqa: F401
+from ..plans.blocks import histogram, per_group, ratio, series_pairs
+from .recurrence import recurrences
+from .series import joint_information, normalize
+from .series import shuffled as white_noise
 
 
-def _per_node(obs: DataFrame, f) -> DataFrame:
+def _per_node(obs: DataFrame, f, seed: int) -> DataFrame:
     kind = dict(obs.dtypes)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
-        rng = np.random.default_rng([len(g), *str(g.node.iloc[0]).encode()])
+        rng = np.random.default_rng([seed, len(g), *str(g.node.iloc[0]).encode()])
         return pd.DataFrame({"node": g.node, "t": g.t, "x": f(g.x.to_numpy(float), rng)})
 
-    return obs.select("node", "t", "x").groupBy("node").applyInPandas(run, f"node {kind['node']}, t {kind['t']}, x double")
+    return per_group(obs.select("node", "t", "x"), ["node"], run, f"node {kind['node']}, t {kind['t']}, x double")
 
 
 def _phases(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -34,23 +39,23 @@ def _remap(values: np.ndarray, order: np.ndarray) -> np.ndarray:
     return np.sort(values)[np.argsort(np.argsort(order))]
 
 
-def fourier(obs: DataFrame) -> DataFrame:
+def fourier(obs: DataFrame, seed: int = 1) -> DataFrame:
     """Random phases, the same spectrum."""
-    return _per_node(obs, lambda x, rng: _phases(x, rng))
+    return _per_node(obs, lambda x, rng: _phases(x, rng), seed)
 
 
-def aaft(obs: DataFrame) -> DataFrame:
+def aaft(obs: DataFrame, seed: int = 1) -> DataFrame:
     """Amplitude-adjusted: the same values, nearly the same spectrum."""
 
     def f(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         normal = _remap(rng.standard_normal(len(x)), x)
         return _remap(x, _phases(normal, rng))
 
-    return _per_node(obs, f)
+    return _per_node(obs, f, seed)
 
 
-def refined_aaft(obs: DataFrame, iterations: int = 10, true_spectrum: bool = False) -> DataFrame:
-    """Amplitudes and spectrum imposed in turn."""
+def refined_aaft(obs: DataFrame, iterations: int = 10, true_spectrum: bool = False, seed: int = 1) -> DataFrame:
+    """Amplitudes and spectrum imposed in turn; ends with the true amplitudes or, if asked, with the true spectrum."""
 
     def f(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         size, r = np.abs(np.fft.rfft(x)), rng.permutation(x)
@@ -60,10 +65,10 @@ def refined_aaft(obs: DataFrame, iterations: int = 10, true_spectrum: bool = Fal
             r = _remap(x, s)
         return s if true_spectrum else r
 
-    return _per_node(obs, f)
+    return _per_node(obs, f, seed)
 
 
-def twin_surrogates(obs: DataFrame, threshold: float, dimension: int = 1, delay: int = 1, min_dist: int = 7) -> DataFrame:
+def twin_surrogates(obs: DataFrame, threshold: float, dimension: int = 1, delay: int = 1, min_dist: int = 7, seed: int = 1) -> DataFrame:
     """Walks along the series that may jump between twins: states with the same neighbours."""
 
     def f(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -82,30 +87,81 @@ def twin_surrogates(obs: DataFrame, threshold: float, dimension: int = 1, delay:
                 at = int(rng.integers(n))
         return np.array(out)
 
-    return _per_node(obs, f)
+    return _per_node(obs, f, seed)
 
 
-def hilbert(obs: DataFrame) -> DataFrame:
-    """``node, t, amplitude, phase`` of the analytic signal."""
-    kind = dict(obs.dtypes)
+def spectrum(obs: DataFrame) -> DataFrame:
+    """``node, k, re, im``: the one-sided discrete Fourier transform of each series."""
+    kind = dict(obs.dtypes)["node"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        x = g.x.to_numpy(float)
-        h = np.zeros(len(x))
-        h[0] = 1
-        h[1 : (len(x) + 1) // 2] = 2
-        if len(x) % 2 == 0:
-            h[len(x) // 2] = 1
-        z = np.fft.ifft(np.fft.fft(x) * h)
-        return pd.DataFrame({"node": g.node, "t": g.t, "amplitude": np.abs(z), "phase": np.arctan2(z.imag, z.real)})
-
-    return obs.select("node", "t", "x").groupBy("node").applyInPandas(run, f"node {kind['node']}, t {kind['t']}, amplitude double, phase double")
-
-
-def phase_coherence(h: DataFrame) -> DataFrame:
-    """``i, j, s, shift``: length and angle of the mean phase difference."""
-    a, b = h.select(F.col("node").alias("i"), "t", F.col("phase").alias("p")), h.select(F.col("node").alias("j"), "t", F.col("phase").alias("q"))
-    d = F.col("p") - F.col("q")
-    m = a.join(b, "t").groupBy("i", "j").agg(F.avg(F.cos(d)).alias("c"), F.avg(F.sin(d)).alias("n"))
-    return m.select("i", "j", F.sqrt(F.col("c") ** 2 + F.col("n") ** 2).alias("s"), F.atan2("n", "c").alias("shift"))
+        z = np.fft.rfft(g.sort_values("t").x.to_numpy(float))
+        return pd.DataFrame({"node": g.node.iloc[0], "k": np.arange(len(z)), "re": z.real, "im": z.imag})
+
+    return per_group(obs.select("node", "t", "x"), ["node"], run, f"node {kind}, k long, re double, im double")
+
+
+def recurrence_of(emb: DataFrame, threshold: float) -> DataFrame:
+    """``i, j`` of states no component of which differs by more than the threshold."""
+    return recurrences(emb, float(np.nextafter(threshold, np.inf)))
+
+
+def small_series(spark) -> DataFrame:
+    """Six test series of 200 values: sin(t pi / 15 + node pi / 2) + sin(t pi / 30)."""
+    return spark.range(1200).select((F.col("id") % 6).alias("node"), F.floor(F.col("id") / 6).alias("t")).withColumn("x", F.sin(F.col("t") * math.pi / 15 + F.col("node") * math.pi / 2) + F.sin(F.col("t") * math.pi / 30))
+
+
+# significance ------------------------------------------------------------------------------------
+
+
+def test_pearson(original: DataFrame, surrogates: DataFrame) -> DataFrame:
+    """``i, j, s``: mean product of original i and surrogate j, 0 on the diagonal: their correlation if both are normalised."""
+    return _against(original, surrogates, lambda a, b: a @ b.T / max(a.shape[1], 1))
+
+
+def test_mutual_information(original: DataFrame, surrogates: DataFrame, n_bins: int = 32) -> DataFrame:
+    """``i, j, s``: mutual information of original i and surrogate j, binned in equal widths over the range of all values of both, 0 on the diagonal."""
+    lo, hi = original.select("x").union(surrogates.select("x")).agg(F.min("x"), F.max("x")).first()
+    scale = 1 / (hi - lo) if lo is not None and hi > lo else 0.0
+
+    def f(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        place = lambda m: np.minimum(np.floor(scale * (m - (lo or 0.0)) * n_bins), n_bins - 1)
+        return joint_information(place(a), place(b))
+
+    return _against(original, surrogates, f)
+
+
+def _against(original: DataFrame, surrogates: DataFrame, f) -> DataFrame:
+    """``i, j, s`` of a function of originals and surrogates. Both halves of one table of series (``+name``, ``-name``) meet in blocks."""
+    kind = dict(original.dtypes)["node"]
+    mark = lambda df, sign: df.select(F.concat(F.lit(sign), F.col("node").cast("string")).alias("node"), "t", "x")
+    both = series_pairs(mark(original, "+").unionByName(mark(surrogates, "-")), lambda a, b: {"s": f(a, b)}, "s double", symmetric=False).filter("i like '+%' and j like '-%'")
+    out = both.select(F.substring("i", 2, 1 << 20).cast(kind).alias("i"), F.substring("j", 2, 1 << 20).cast(kind).alias("j"), "s")
+    return out.withColumn("s", F.when(F.col("i") == F.col("j"), 0.0).otherwise(F.col("s")))
+
+
+def original_distribution(obs: DataFrame, measure=test_pearson, n_bins: int = 100) -> DataFrame:
+    """``bin, lower, n, share``: histogram of the absolute values of ``measure(obs, obs)`` of the normalised series."""
+    z = normalize(obs)
+    return histogram(measure(z, z).select(F.abs("s").alias("s")), "s", n_bins)
+
+
+def threshold_significance(obs: DataFrame, surrogate=white_noise, measure=test_pearson, realizations: int = 1, n_bins: int = 100, interval: tuple[float, float] = (-1.0, 1.0)) -> DataFrame:
+    """``bin, lower, share``: histogram over an interval of the absolute values of ``measure(original, surrogate(original, seed))`` over all realizations, each of the same weight; values beyond the interval don't count."""
+    z = normalize(obs)
+    parts = None
+    for r in range(realizations):
+        one = measure(z, surrogate(z, seed=r + 1)).select(F.lit(r).alias("r"), F.abs("s").alias("s"))
+        parts = one if parts is None else parts.union(one)
+    lo, hi = interval
+    inside = parts.filter(F.col("s").between(lo, hi))
+    b = F.least(F.floor((F.col("s") - lo) / (hi - lo) * n_bins), F.lit(n_bins - 1)).cast("int")
+    counts = inside.groupBy("r", b.alias("bin")).agg(F.count("*").alias("c"))
+    each = counts.join(counts.groupBy("r").agg(F.sum("c").alias("of")), "r").groupBy("bin").agg(F.sum(F.col("c") / F.col("of")).alias("d"))
+    every = obs.sparkSession.range(n_bins).select(F.col("id").cast("int").alias("bin"))
+    out = every.join(each, "bin", "left").select("bin", (F.lit(lo) + F.lit((hi - lo) / n_bins) * F.col("bin")).alias("lower"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    return out.select("bin", "lower", ratio(F.col("d"), F.sum("d").over(Window.partitionBy(F.lit(0)))).alias("share"))  # a row for each bin
+
+
+for _f in (test_pearson, test_mutual_information):
+    _f.__test__ = False  # not tests
