@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import climate as K
 from ..operators import clustering as C
+from ..operators import coupling as Q
 from ..operators import dense as N
 from ..operators import events as E
 from ..operators import graph as G
@@ -142,16 +143,14 @@ on_paths("nsi_harmonic_closeness", lambda g, d: P.nsi_closeness(g, d, "harmonic"
 on_paths("nsi_exponential_closeness", lambda g, d: P.nsi_closeness(g, d, "exponential"), f"SELECT src AS id, {r6('sum(wj * pow(2.0, -d)) / (SELECT sum(w) FROM n)')} AS value FROM dn GROUP BY src")
 on_paths("global_efficiency", P.global_efficiency, f"SELECT {r6('sum(1 / d) / ((SELECT count(*) FROM n) * ((SELECT count(*) FROM n) - 1))')} AS value FROM dist WHERE src <> dst")
 on_paths("nsi_global_efficiency", P.nsi_global_efficiency, f"SELECT {r6('sum(wi * wj / d) / pow((SELECT sum(w) FROM n), 2)')} AS value FROM dn")
-on_paths("distance_based_measures", P.distance_based_measures, f"SELECT n.id AS id, {r6('count(d) / sum(d)')} AS closeness, {r6('sum(1 / d) / ((SELECT count(*) FROM n) - 1)')} AS harmonic, {r6('sum(pow(2.0, -d)) / ((SELECT count(*) FROM n) - 1)')} AS exponential, max(d) AS eccentricity FROM n LEFT JOIN dist ON src = id AND src <> dst GROUP BY n.id")
-on_trade("betweenness", P.betweenness)
-on_trade("nsi_betweenness", P.nsi_betweenness)
-on_trade("link_betweenness", P.link_betweenness)
-on_trade("pagerank", P.pagerank, None, True)
-on_trade("eigenvector_centrality", P.eigenvector_centrality)
-on_trade("nsi_eigenvector_centrality", lambda g: P.eigenvector_centrality(g, True))
+FAR = "(SELECT count(*) FROM n)"
+ALLD = f"SELECT a.id AS src, b.id AS dst, a.w AS wi, b.w AS wj, coalesce(d, {FAR}) AS d, CASE WHEN a.id = b.id THEN 1.0 ELSE coalesce(d, {FAR}) END AS e FROM n a CROSS JOIN n b LEFT JOIN dist ON dist.src = a.id AND dist.dst = b.id"
+TW = "(SELECT sum(w) FROM n)"
+DBM = f"SELECT src AS id, max(wi) AS w, ({FAR} - 1) / sum(d) AS closeness, sum(CASE WHEN src <> dst THEN 1 / d END) / ({FAR} - 1) AS harmonic, sum(CASE WHEN src <> dst THEN pow(0.5, d) END) / ({FAR} - 1) AS exponential, {TW} / sum(wj * e) AS nsi_closeness, sum(wj / e) / {TW} AS nsi_harmonic, sum(wj * pow(0.5, e)) / {TW} AS nsi_exponential FROM ({ALLD}) GROUP BY src"
+_dbm = ["closeness", "harmonic", "exponential", "nsi_closeness", "nsi_harmonic", "nsi_exponential"]
+on_paths("distance_based_measures", P.distance_based_measures, "SELECT id, " + ", ".join(f"{r6(c)} AS {c}" for c in _dbm) + f" FROM ({DBM})")
+on_paths("distance_based_totals", lambda g, d: P.distance_based_totals(g, P.distance_based_measures(g, d)), f"SELECT {r6('avg(1 / closeness)')} AS average_path_length, {r6('avg(harmonic)')} AS global_efficiency, {r6(f'sum(w / {TW} / nsi_closeness)')} AS nsi_average_path_length, {r6(f'sum(w / {TW} * nsi_harmonic)')} AS nsi_global_efficiency FROM ({DBM})")
 on_trade("coreness", P.coreness)
-on_trade("local_vulnerability", P.local_vulnerability)
-on_trade("path_lengths_weighted", lambda g: P.path_lengths(g, "v"), None, True)
 
 # interacting networks --------------------------------------------------------------------------
 
@@ -189,15 +188,6 @@ def on_cross_paths(name: str, f: Callable, sql: str) -> None:
 on_cross_paths("cross_average_path_length", I.cross_average_path_length, f"SELECT {r6('avg(d)')} AS value FROM cd")
 on_cross_paths("cross_closeness", I.cross_closeness, f"SELECT id, {r6('(SELECT count(*) FROM lb) / (coalesce(sum(d), 0) + ((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM lb) - count(d)))')} AS value FROM la LEFT JOIN cd ON src = id GROUP BY id")
 on_cross_paths("cross_local_efficiency", I.local_efficiency, f"SELECT id, {r6('coalesce(sum(1 / d), 0) / (SELECT count(*) FROM lb)')} AS value FROM la LEFT JOIN cd ON src = id GROUP BY id")
-on_layers("cross_betweenness", I.cross_betweenness)
-on_layers("nsi_cross_betweenness", I.nsi_cross_betweenness)
-on_layers("internal_betweenness", lambda g, a, b: I.internal_betweenness(g, a))
-on_layers("internal_closeness", lambda g, a, b: I.internal_closeness(g, a))
-on_layers("internal_average_path_length", lambda g, a, b: I.internal_average_path_length(g, a))
-on_layers("nsi_cross_closeness", I.nsi_cross_closeness)
-on_layers("cross_global_efficiency", I.cross_global_efficiency)
-on_layers("nsi_cross_average_path_length", I.nsi_cross_average_path_length)
-
 # fields of series ------------------------------------------------------------------------------
 
 
@@ -232,20 +222,20 @@ on_months("link_density_function", lambda o: S.link_density_function(S.pearson(S
 BINS = ", bn AS (SELECT node, t, least(floor((x - lo) / (hi - lo) * 8), 7) AS b FROM obs, (SELECT min(x) AS lo, max(x) AS hi FROM obs)), jt AS (SELECT a.node AS i, b.node AS j, a.b AS p, b.b AS q, count(*) AS n FROM bn a JOIN bn b USING (t) GROUP BY 1, 2, 3, 4), jm AS (SELECT *, sum(n) OVER (PARTITION BY i, j, p) AS np, sum(n) OVER (PARTITION BY i, j, q) AS nq, sum(n) OVER (PARTITION BY i, j) AS tt FROM jt)"
 on_months("mutual_information", lambda o: S.mutual_information(S.binned(o, 8)), f"SELECT i, j, {r6('sum(n / tt * ln(n * tt / (np * nq)))')} AS s FROM jm GROUP BY 1, 2", BINS)
 LAG = ", lg AS (SELECT a.node AS i, b.node AS j, k.tau, CASE WHEN stddev_pop(a.x) > 0 AND stddev_pop(b.x) > 0 THEN covar_pop(a.x, b.x) / (stddev_pop(a.x) * stddev_pop(b.x)) ELSE 0 END AS s FROM (SELECT unnest(range(0, 4)) AS tau) k, obs a JOIN obs b ON b.t = a.t + k.tau WHERE b.t >= 3 GROUP BY 1, 2, 3)"
-on_months("cross_correlation_all", lambda o: S.cross_correlation(o, 3), f"SELECT i, j, tau, {r6('s')} AS s FROM lg", LAG)
-on_months("cross_correlation_lag_max", lambda o: S.strongest_lag(S.cross_correlation(o, 3)), f"SELECT i, j, {r6('s')} AS s, lag FROM (SELECT i, j, s, tau AS lag, row_number() OVER (PARTITION BY i, j ORDER BY round(abs(s), 12) DESC, tau DESC) AS r FROM lg) WHERE r = 1", LAG)
-on_months("cross_correlation_sum", lambda o: S.summed_lags(S.cross_correlation(o, 3)), f"SELECT i, j, {r6('sum(abs(s))')} AS s FROM lg GROUP BY 1, 2", LAG)
+on_months("cross_correlation_all", lambda o: Q.cross_correlation(o, 3), f"SELECT i, j, tau, {r6('s')} AS s FROM lg", LAG)
+on_months("cross_correlation_lag_max", lambda o: Q.strongest_lag(Q.cross_correlation(o, 3)), f"SELECT i, j, {r6('s')} AS s, lag FROM (SELECT i, j, s, tau AS lag, row_number() OVER (PARTITION BY i, j ORDER BY round(abs(s), 12) DESC, tau DESC) AS r FROM lg) WHERE r = 1", LAG)
+on_months("cross_correlation_sum", lambda o: S.summed_lags(Q.cross_correlation(o, 3)), f"SELECT i, j, {r6('sum(abs(s))')} AS s FROM lg GROUP BY 1, 2", LAG)
 on_months("quantile_bins", lambda o: S.quantile_binned(o, 6), "SELECT node, t, CAST(floor(max(r) OVER (PARTITION BY node, x) / ceil(c / 6.0)) AS BIGINT) AS b FROM (SELECT node, t, x, row_number() OVER (PARTITION BY node ORDER BY x, t) - 1 AS r, count(*) OVER (PARTITION BY node) AS c FROM obs)")
-on_months("knn_information", S.knn_information)
-on_months("information_transfer", S.information_transfer)
+on_months("knn_information", lambda o: Q.most_information(Q.mutual_information(o, 1, "knn", 5)))
+on_months("information_transfer", lambda o: Q.most_information(Q.information_transfer(o, 1, "knn", 5)))
 on_months("shuffled_surrogate", S.shuffled)
 
-RAIN = ", lo AS (SELECT quantile_disc(x, 0.5) AS v FROM obs), mk AS (SELECT node, t, row_number() OVER (PARTITION BY node ORDER BY x, t) AS r FROM obs, lo WHERE x > v)"
-on_months("top_events_spearman", lambda o: K.rainfall_similarity(o, 0.5), f"SELECT i, j, {r6('CASE WHEN sa > 0 AND sb > 0 THEN c / (sa * sb) END')} AS s FROM (SELECT a.node AS i, b.node AS j, covar_pop(a.r, b.r) AS c, stddev_pop(a.r) AS sa, stddev_pop(b.r) AS sb FROM mk a JOIN mk b USING (t) GROUP BY 1, 2)", RAIN)
-on_months("correlation_strength", lambda o: K.correlation_strength(S.anomaly(o, 12), 6))
+RAIN = ANOM + """, so AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS r, count(*) OVER () AS m FROM obs), li AS (SELECT max(CASE WHEN r = floor(m * 0.5) THEN x END) AS lo, max(CASE WHEN r = floor(m * 0.9) - 1 THEN x END) AS hi FROM so),
+mk AS (SELECT node, t, x >= lo AND x <= hi AND x <> 0 AS hit FROM obs, li), rr AS (SELECT an.node, an.t, CAST(row_number() OVER (PARTITION BY an.node ORDER BY an.x, an.t) AS DOUBLE) AS r, hit FROM (SELECT node, t, round(x, 9) AS x FROM an) an JOIN mk ON mk.node = an.node AND mk.t = an.t),
+rp AS (SELECT a.node AS i, b.node AS j, a.r AS p, b.r AS q, a.hit OR b.hit AS hit, sum(CASE WHEN a.hit OR b.hit THEN 1 ELSE 0 END) OVER (PARTITION BY a.node, b.node) AS n, tt FROM rr a JOIN rr b USING (t), (SELECT count(DISTINCT t) AS tt FROM obs))"""
+on_months("top_events", lambda o: K.top_events(o, 0.5, 0.9).select("node", "t", F.col("hit").cast("int").alias("hit")), "SELECT node, t, CAST(hit AS BIGINT) AS hit FROM mk", RAIN)
+on_months("top_events_spearman", lambda o: K.rainfall_similarity(o, S.anomaly(o, 12).withColumn("x", F.round("x", 9)), 0.5, 0.9), f"SELECT i, j, {r6('sum(CASE WHEN hit THEN (p - sh) * (q - sh) END) / nullif(sqrt(sum(CASE WHEN hit THEN (p - sh) * (p - sh) END) * sum(CASE WHEN hit THEN (q - sh) * (q - sh) END)), 0)')} AS s FROM (SELECT i, j, p, q, hit, tt - n + (n + 1) / 2.0 AS sh FROM rp) GROUP BY 1, 2", RAIN)
 on_months("coupled_similarity", lambda o: K.coupled_similarity(S.anomaly(o.filter("node < 12"), 12), S.anomaly(o.filter("node >= 12"), 12)), f"SELECT i, j, {r6('s')} AS s FROM pc WHERE i < 12 AND j >= 12", CORR)
-on_months("correlation_weighted_closeness", lambda o: K.weighted_closeness(climate(o), "s"))
-on_months("correlation_weighted_average_path_length", lambda o: K.weighted_average_path_length(climate(o), "s"))
 
 # space -----------------------------------------------------------------------------------------
 
@@ -256,18 +246,44 @@ add("grid_boundaries", lambda spark, sf: X.boundaries(D.nation_grid(spark, sf)),
 add("nearest_node", lambda spark, sf: X.nearest_node(D.nation_grid(spark, sf), 10.0, 20.0), f"SELECT a.node AS node, {r6(ANG)} AS d FROM grid a, (SELECT 10.0 AS lat, 20.0 AS lon) b ORDER BY d, node LIMIT 1", D.GRID)
 
 
-def on_geo(name: str, f: Callable, sql: str, directed: bool = False) -> None:
-    add(name, lambda spark, sf: f(D.trade(spark, sf, directed), D.nation_grid(spark, sf)), sql, f"{D.TRADE}, {ANGLE}, ld AS (SELECT src, dst, d FROM u JOIN ad ON i = src AND j = dst)")
+def on_geo(name: str, f: Callable, sql: str, directed: bool = False, more: str = "") -> None:
+    add(name, lambda spark, sf: f(D.trade(spark, sf, directed), D.nation_grid(spark, sf)), sql, f"{D.TRADE}, {ANGLE}, ld AS (SELECT src, dst, d FROM u JOIN ad ON i = src AND j = dst), dd AS (SELECT src, dst, d FROM d JOIN ad ON i = src AND j = dst){more}")
 
 
 on_geo("average_link_distance", X.average_link_distance, f"SELECT id, {r6('coalesce(avg(ld.d), 0)')} AS value FROM n LEFT JOIN ld ON src = id GROUP BY id")
 on_geo("max_link_distance", X.max_link_distance, f"SELECT id, {r6('coalesce(max(ld.d), 0)')} AS value FROM n LEFT JOIN ld ON src = id GROUP BY id")
-on_geo("link_distance_distribution", lambda g, x: X.link_distance_distribution(g, x, 7), hist_sql("ld", "d", "CAST(7 AS DOUBLE)"))
+
+
+def bins_to(source: str, value: str, bins: int, top: str) -> str:
+    """Histogram from 0 to a given end as SQL: ``bin, lower, n``."""
+    return f"SELECT b.bin AS bin, top * b.bin / {bins}.0 AS lower, count(v) AS n FROM (SELECT ({top}) AS top) e, (SELECT unnest(range(0, {bins})) AS bin) b LEFT JOIN (SELECT {value} AS v FROM {source}) x ON least(floor((v - 0.0) / (top - 0.0) * {bins}), {bins - 1}) = b.bin GROUP BY b.bin, top"
+
+
+TOP = "SELECT max(d) FROM ad"
+LDD = bins_to("ld", "d", 7, TOP)
+GDD = bins_to("(SELECT d FROM ad WHERE i <> j)", "d", 7, TOP)
+on_geo("link_distance_distribution", lambda g, x: X.link_distance_distribution(g, x, 7), f"SELECT bin, {r6('lower')} AS lower, {r6('n / sum(n) OVER ()')} AS share FROM ({LDD})")
+on_geo("link_distance_distribution_corrected", lambda g, x: X.link_distance_distribution(g, x, 7, True), f"SELECT a.bin AS bin, {r6('a.lower')} AS lower, {r6('coalesce(a.n / nullif(b.n, 0), 0) / sum(coalesce(a.n / nullif(b.n, 0), 0)) OVER ()')} AS share FROM ({LDD}) a JOIN ({GDD}) b USING (bin)")
+add("geometric_distance_distribution", lambda spark, sf: X.geometric_distance_distribution(D.nation_grid(spark, sf), 7), f"SELECT bin, {r6('lower')} AS lower, {r6('n / sum(n) OVER ()')} AS share FROM ({GDD})", ANGLE)
 AWC = "SELECT n.id AS id, coalesce(sum(m.w), 0) / (SELECT sum(w) FROM n) AS value FROM n LEFT JOIN u ON src = n.id LEFT JOIN n m ON m.id = dst GROUP BY n.id"
 on_geo("area_weighted_connectivity", lambda g, x: X.area_weighted_connectivity(g), f"SELECT id, {r6('value')} AS value FROM ({AWC})")
 on_geo("total_link_distance", X.total_link_distance, f"SELECT id, {r6('value * coalesce((SELECT avg(ld.d) FROM ld WHERE src = id), 0)')} AS value FROM ({AWC})")
 on_geo("neighbor_connectivity", lambda g, x: X.neighbor_connectivity(g), f"SELECT n.id AS id, {r6('coalesce(avg(a.value), 0)')} AS mean, {r6('coalesce(max(a.value), 0)')} AS largest FROM n LEFT JOIN u ON src = n.id LEFT JOIN ({AWC}) a ON a.id = dst GROUP BY n.id")
-on_geo("connectivity_weighted_distance", X.connectivity_weighted_distance, f"SELECT n.id AS id, {r6('coalesce(sum(b.k * ld.d * m.w) / (max(a.k) * sum(m.w)), 0)')} AS value FROM n LEFT JOIN ld ON src = n.id LEFT JOIN du a ON a.id = n.id LEFT JOIN du b ON b.id = dst LEFT JOIN n m ON m.id = dst GROUP BY n.id")
+CWD = "SELECT n.id AS id, {0} AS value FROM n LEFT JOIN {1} ON {2} = n.id LEFT JOIN n m ON m.id = {3} GROUP BY n.id"
+_cwd = r6("coalesce(sum(l.d * m.w) / (count(l.d) * (SELECT sum(w) FROM n)), 0)")
+on_geo("connectivity_weighted_distance", X.connectivity_weighted_distance, CWD.format(_cwd, "ld l", "l.src", "l.dst"))
+for _way, (_own, _other) in {"in": ("dst", "src"), "out": ("src", "dst")}.items():
+    on_geo(f"connectivity_weighted_distance_{_way}", lambda g, x, w=_way: X.connectivity_weighted_distance(g, x, w), CWD.format(_cwd, "dd l", f"l.{_own}", f"l.{_other}"), True)
+    on_geo(f"average_link_distance_{_way}", lambda g, x, w=_way: X.average_link_distance(g, x, w), f"SELECT id, {r6('coalesce(avg(dd.d), 0)')} AS value FROM n LEFT JOIN dd ON {_own} = id GROUP BY id", True)
+    _awc = f"SELECT n.id AS id, coalesce(sum(m.w), 0) / (SELECT sum(w) FROM n) AS value FROM n LEFT JOIN d ON {_own} = n.id LEFT JOIN n m ON m.id = {_other} GROUP BY n.id"
+    on_geo(f"area_weighted_connectivity_{_way}", lambda g, x, w=_way: X.area_weighted_connectivity(g, w), f"SELECT id, {r6('value')} AS value FROM ({_awc})", True)
+    on_geo(f"total_link_distance_{_way}", lambda g, x, w=_way: X.total_link_distance(g, x, w), f"SELECT id, {r6(f'value * coalesce((SELECT avg(dd.d) FROM dd WHERE {_own} = id), 0)')} AS value FROM ({_awc})", True)
+on_geo("average_link_distance_corrected", lambda g, x: X.average_link_distance(g, x, geometry_corrected=True), f"SELECT id, {r6('coalesce(avg(ld.d), 0) / (SELECT avg(d) FROM ad WHERE i = id)')} AS value FROM n LEFT JOIN ld ON src = id GROUP BY id")
+GEO = "SELECT bin, lower, coalesce(sum(w) / max(total), 0) AS share FROM (SELECT b.bin AS bin, lo + (hi - lo) * b.bin / {1} AS lower, x.w AS w, total FROM (SELECT min(value) AS lo, max(value) AS hi, sum(w) AS total FROM ({0}) JOIN n USING (id)) e, (SELECT unnest(range(0, {1})) AS bin) b LEFT JOIN (SELECT value, w FROM ({0}) JOIN n USING (id)) x ON floor({1} - 1) >= 0 AND floor(({1} - 1) * (1 / (hi - lo)) * (x.value - lo)) = b.bin) GROUP BY bin, lower"
+_geo = GEO.format(AWC, 6)
+on_geo("geographical_distribution", lambda g, x: X.weighted_distribution(g, X.area_weighted_connectivity(g), 6), f"SELECT bin, {r6('lower')} AS lower, {r6('share')} AS share FROM ({_geo})")
+on_geo("geographical_cumulative_distribution", lambda g, x: X.cumulative_weighted_distribution(g, X.area_weighted_connectivity(g), 6), f"SELECT bin, {r6('lower')} AS lower, {r6('share')} AS share, {r6('sum(share) OVER (ORDER BY bin DESC)')} AS cdf FROM ({_geo})")
+on_geo("local_geographical_clustering", X.local_geographical_clustering, f"SELECT n.id AS id, {r6('coalesce(max(t) / ((SELECT max(1 / d) FROM ld WHERE d > 0) * max(si) * max(si)), 0)')} AS value FROM n LEFT JOIN (SELECT a.src AS id, sum(1 / (a.d * b.d * c.d)) AS t FROM ld a JOIN ld b ON b.src = a.dst JOIN ld c ON c.src = b.dst AND c.dst = a.src WHERE a.d > 0 AND b.d > 0 AND c.d > 0 GROUP BY 1) USING (id) LEFT JOIN (SELECT src AS id, sum(1 / d) AS si FROM ld WHERE d > 0 GROUP BY 1) USING (id) GROUP BY n.id")
 
 # recurrence ------------------------------------------------------------------------------------
 
@@ -313,7 +329,6 @@ on_plot("recurrence_network_degree", lambda rp, x, n: G.degree(R.network(rp, x.s
 on_plot("recurrence_network_transitivity_dimension", lambda rp, x, n: R.single_scale_dimension(C.transitivity(R.network(rp, x.select("i")))), f"SELECT {r6('ln((SELECT count(*) FROM e a JOIN e b ON a.j = b.i JOIN e c ON c.i = b.j AND c.j = a.i) / (SELECT sum(k * (k - 1)) FROM (SELECT count(*) AS k FROM e GROUP BY i))) / ln(0.75)')} AS value", ", e AS (SELECT i, j FROM rp WHERE i <> j)")
 on_plot("twins", lambda rp, x, n: R.twins(rp, 7), "SELECT a.i AS i, b.i AS j FROM nb a JOIN nb b ON a.l = b.l AND abs(a.i - b.i) > 7", ", nb AS (SELECT i, list(j ORDER BY j) AS l FROM rp GROUP BY i)")
 add("permutation_entropy", lambda spark, sf: R.permutation_entropy(R.embed(D.daily(spark, sf), 3, 1), 3), f"SELECT {r6('-sum(n / t * log2(n / t)) / log2(6)')} AS value FROM (SELECT (a <= b) AS p, (a <= c) AS q, (b <= c) AS s, count(*) AS n FROM (SELECT x AS a, lead(x) OVER (ORDER BY i) AS b, lead(x, 2) OVER (ORDER BY i) AS c FROM six) WHERE c IS NOT NULL GROUP BY 1, 2, 3), (SELECT count(*) - 2 AS t FROM six)", D.SIX)
-add("complexity_entropy", lambda spark, sf: R.complexity_entropy(R.embed(D.daily(spark, sf), 3, 1), 3))
 
 
 def two_plots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -330,7 +345,8 @@ HALF = D.HOURS + ", hf AS (SELECT node, CAST(floor(t / 12) AS BIGINT) AS i, sum(
 add("cross_recurrence_rate", lambda spark, sf: (lambda t: R.recurrence_rate(t[4], t[0].count(), t[1].count()))(two_plots(spark, sf)), f"SELECT {r6('count(*) / ((SELECT count(*) FROM xs) * (SELECT count(*) FROM ys))')} AS value FROM rc", HALF)
 add("cross_recurrence_balance", lambda spark, sf: R.cross_balance(two_plots(spark, sf)[4]), f"SELECT {r6('(sum(CASE WHEN j > i THEN 1 ELSE 0 END) - sum(CASE WHEN j < i THEN 1 ELSE 0 END)) / sum(CASE WHEN j <> i THEN 1 ELSE 0 END)')} AS value FROM rc", HALF)
 add("joint_recurrence", lambda spark, sf: (lambda t: R.joint(t[2], t[3]))(two_plots(spark, sf)), "SELECT i, j FROM rx INTERSECT SELECT i, j FROM ry", HALF)
-add("inter_system_network", lambda spark, sf: (lambda t: R.inter_system(t[2], t[3], t[4], 1000))(two_plots(spark, sf)), "SELECT i AS src, j AS dst FROM rx WHERE i <> j UNION ALL SELECT i + 1000, j + 1000 FROM ry WHERE i <> j UNION ALL SELECT i, j + 1000 FROM rc UNION ALL SELECT j + 1000, i FROM rc", HALF)
+OFF = "(SELECT max(i) + 1 FROM xs)"
+add("inter_system_network", lambda spark, sf: (lambda t: R.inter_system(t[2], t[3], t[4], R.system_offset(t[0])))(two_plots(spark, sf)), f"SELECT i AS src, j AS dst FROM rx WHERE i <> j UNION ALL SELECT i + {OFF}, j + {OFF} FROM ry WHERE i <> j UNION ALL SELECT i, j + {OFF} FROM rc UNION ALL SELECT j + {OFF}, i FROM rc", HALF)
 
 # visibility ------------------------------------------------------------------------------------
 
@@ -351,14 +367,40 @@ def hours_events(spark: SparkSession, sf: str) -> DataFrame:
 
 EVM = D.HOURS + ", em AS (SELECT node, t, CASE WHEN x > q THEN 1 ELSE 0 END AS flag FROM obs JOIN (SELECT node, quantile_cont(x, 0.9) AS q FROM obs GROUP BY node) USING (node)), ev AS (SELECT node, CAST(t AS DOUBLE) AS ts FROM em WHERE flag = 1), nv AS (SELECT node, count(*) AS n FROM ev GROUP BY 1)"
 add("event_matrix", lambda spark, sf: E.event_matrix(D.event_hours(spark, sf), quantile=0.9), "SELECT node, t, flag FROM em", EVM)
-GAPS = ", gp AS (SELECT node, ts, least(ts - lag(ts) OVER w, lead(ts) OVER w - ts) AS gap, lag(ts) OVER w AS p, lead(ts) OVER w AS q FROM ev WINDOW w AS (PARTITION BY node ORDER BY ts)), gg AS (SELECT * FROM gp WHERE p IS NOT NULL AND q IS NOT NULL)"
-ES = "SELECT x.node AS i, y.node AS j, sum(CASE WHEN x.ts = y.ts THEN 0.5 ELSE 1.0 END) AS c FROM gg x JOIN gg y ON x.node <> y.node AND x.ts >= y.ts AND 2 * (x.ts - y.ts) <= least(x.gap, y.gap) GROUP BY 1, 2"
-ESV = f"SELECT a.node AS i, b.node AS j, CASE WHEN a.n > 2 AND b.n > 2 THEN coalesce(c, 0) / sqrt((a.n - 2) * (b.n - 2)) ELSE 0 END AS value FROM nv a JOIN nv b ON a.node <> b.node LEFT JOIN ({ES}) s ON s.i = a.node AND s.j = b.node"
-add("event_synchronization", lambda spark, sf: E.event_synchronization(hours_events(spark, sf)), f"SELECT i, j, {r6('value')} AS value FROM ({ESV})", EVM + GAPS)
-add("event_synchronization_mean", lambda spark, sf: E.symmetrize(E.event_synchronization(hours_events(spark, sf)), "mean"), f"SELECT a.i AS i, a.j AS j, {r6('(a.value + b.value) / 2')} AS value FROM ({ESV}) a JOIN ({ESV}) b ON a.i = b.j AND a.j = b.i", EVM + GAPS)
-add("event_coincidence", lambda spark, sf: E.event_coincidence(hours_events(spark, sf), 3.0), f"SELECT a.node AS i, b.node AS j, {r6('coalesce(cx, 0) / a.n')} AS precursor, {r6('coalesce(cy, 0) / b.n')} AS trigger FROM nv a JOIN nv b ON a.node <> b.node LEFT JOIN (SELECT x.node AS i, y.node AS j, count(DISTINCT x.ts) AS cx, count(DISTINCT y.ts) AS cy FROM ev x JOIN ev y ON x.node <> y.node AND x.ts - y.ts BETWEEN 0 AND 3 GROUP BY 1, 2) h ON h.i = a.node AND h.j = b.node", EVM)
-for _window, _cond in {"retarded": "x.ts - y.ts BETWEEN 0 AND 3", "advanced": "y.ts - x.ts BETWEEN 0 AND 3", "symmetric": "abs(x.ts - y.ts) <= 3"}.items():
-    add(f"event_coincidence_{_window}", lambda spark, sf, w=_window: E.coincidence_rate(hours_events(spark, sf), 3.0, w), f"SELECT a.node AS i, b.node AS j, {r6('coalesce(c, 0) / a.n')} AS value FROM nv a JOIN nv b ON a.node <> b.node LEFT JOIN (SELECT x.node AS i, y.node AS j, count(DISTINCT x.ts) AS c FROM ev x JOIN ev y ON x.node <> y.node AND {_cond} GROUP BY 1, 2) h ON h.i = a.node AND h.j = b.node", EVM)
+GAPS = ", gp AS (SELECT node, ts, least(ts - lag(ts) OVER w, lead(ts) OVER w - ts) / 2 AS half, lag(ts) OVER w AS p, lead(ts) OVER w AS q FROM ev WINDOW w AS (PARTITION BY node ORDER BY ts)), gg AS (SELECT * FROM gp WHERE p IS NOT NULL AND q IS NOT NULL), pr AS (SELECT x.node AS i, y.node AS j, x.ts AS tx, y.ts AS ty, x.ts - (y.ts + {lag}) AS d FROM gg x JOIN gg y ON x.node < y.node AND abs(x.ts - (y.ts + {lag})) <= least(x.half, y.half, {tau})), pd AS (SELECT *, max(d < 0) OVER own OR max(d < 0) OVER other AS back, max(d > 0) OVER own OR max(d > 0) OVER other AS forth FROM pr WINDOW own AS (PARTITION BY i, j, tx), other AS (PARTITION BY i, j, ty)), cn AS (SELECT i, j, sum(CASE WHEN d > 0 THEN CASE WHEN back THEN 0.5 ELSE 1.0 END WHEN d = 0 THEN 0.5 ELSE 0 END) AS c FROM pd GROUP BY 1, 2 UNION ALL SELECT j, i, sum(CASE WHEN d < 0 THEN CASE WHEN forth THEN 0.5 ELSE 1.0 END WHEN d = 0 THEN 0.5 ELSE 0 END) FROM pd GROUP BY 1, 2)"
+ESV = "SELECT a.node AS i, b.node AS j, CASE WHEN a.n > 2 AND b.n > 2 THEN coalesce(c, 0) / sqrt((a.n - 2) * (b.n - 2)) ELSE 0 END AS value FROM nv a JOIN nv b ON a.node <> b.node LEFT JOIN cn s ON s.i = a.node AND s.j = b.node"
+for _how, _v in {"directed": "a.value", "symmetric": "a.value + b.value", "antisym": "a.value - b.value", "mean": "(a.value + b.value) / 2", "max": "greatest(a.value, b.value)", "min": "least(a.value, b.value)"}.items():
+    _name = "event_synchronization" if _how == "directed" else f"event_synchronization_{_how}"
+    add(_name, lambda spark, sf, h=_how: E.analysis(hours_events(spark, sf), "ES", h), f"SELECT a.i AS i, a.j AS j, {r6(_v)} AS value FROM ({ESV}) a JOIN ({ESV}) b ON a.i = b.j AND a.j = b.i", EVM + GAPS.format(lag="0", tau="1e300"))
+add("event_synchronization_lagged", lambda spark, sf: E.event_synchronization(hours_events(spark, sf), 2.0, 1.0), f"SELECT i, j, {r6('value')} AS value FROM ({ESV})", EVM + GAPS.format(lag="1.0", tau="2.0"))
+add("event_network", lambda spark, sf: K.event_network(hours_events(spark, sf), 0.1, "ES").edges.select("src", "dst"), f"SELECT i AS src, j AS dst FROM ({ESV}) WHERE value > 0.1", EVM + GAPS.format(lag="0", tau="1e300"))
+
+
+def eca_sql(window: str, tau: float, lag: float) -> str:
+    """Coincidence rates as SQL: ``i, j, value``."""
+    own, time = ("y", "y") if window == "retarded" else ("x", "x")
+    start, end = f"f.lo + {lag} + {tau}", f"f.hi - {lag} - {tau}"
+    keep = {"advanced": f"{time}.ts > {start}", "retarded": f"{time}.ts < {end}", "symmetric": f"{time}.ts > {start} AND {time}.ts < {end}"}[window]
+    left = {"advanced": f"count(*) - count(CASE WHEN ts <= {start} THEN 1 END)", "retarded": f"count(*) - count(CASE WHEN ts >= {end} THEN 1 END)", "symmetric": f"count(*) - count(CASE WHEN ts <= {start} THEN 1 END) - count(CASE WHEN ts >= {end} THEN 1 END)"}[window]
+    low = -tau if window == "symmetric" else 0
+    hits = f"SELECT x.node AS i, y.node AS j, count(DISTINCT {time}.ts) AS c FROM ev x JOIN ev y ON x.node <> y.node AND x.ts - y.ts - {lag} BETWEEN {low} AND {tau} JOIN sp f ON f.node = {own}.node WHERE {keep} GROUP BY 1, 2"
+    norm = f"SELECT ev.node AS node, {left} AS l FROM ev JOIN sp f ON f.node = ev.node GROUP BY 1"
+    return f"SELECT a.node AS i, b.node AS j, coalesce(c, 0) / nullif(l, 0) AS value FROM nv a JOIN nv b ON a.node <> b.node LEFT JOIN ({hits}) h ON h.i = a.node AND h.j = b.node JOIN ({norm}) z ON z.node = {'b' if window == 'retarded' else 'a'}.node"
+
+
+SPAN = ", sp AS (SELECT node, min(ts) AS lo, max(ts) AS hi FROM ev GROUP BY 1)"
+add("event_coincidence", lambda spark, sf: E.event_coincidence(hours_events(spark, sf), 3.0), f"SELECT a.i AS i, a.j AS j, {r6('a.value')} AS precursor, {r6('b.value')} AS trigger FROM ({eca_sql('advanced', 3.0, 0.0)}) a JOIN ({eca_sql('retarded', 3.0, 0.0)}) b USING (i, j)", EVM + SPAN)
+for _window in ("retarded", "advanced", "symmetric"):
+    add(f"event_coincidence_{_window}", lambda spark, sf, w=_window: E.coincidence_rate(hours_events(spark, sf), 3.0, w), f"SELECT i, j, {r6('value')} AS value FROM ({eca_sql(_window, 3.0, 0.0)})", EVM + SPAN)
+    add(f"event_coincidence_{_window}_lagged", lambda spark, sf, w=_window: E.coincidence_rate(hours_events(spark, sf), 2.0, w, 1.0), f"SELECT i, j, {r6('value')} AS value FROM ({eca_sql(_window, 2.0, 1.0)})", EVM + SPAN)
+for _how, _v in {"mean": "(a.value + b.value) / 2", "max": "greatest(a.value, b.value)", "min": "least(a.value, b.value)"}.items():
+    add(f"event_coincidence_{_how}", lambda spark, sf, h=_how: E.analysis(hours_events(spark, sf), "ECA", h, "symmetric", 3.0), f"SELECT a.i AS i, a.j AS j, {r6(_v)} AS value FROM ({eca_sql('symmetric', 3.0, 0.0)}) a JOIN ({eca_sql('symmetric', 3.0, 0.0)}) b ON a.i = b.j AND a.j = b.i", EVM + SPAN)
+#: Binomial tails of coincidences of rare events: the last hour is the record's end.
+TAIL = "SELECT i, j, 1 - sum(exp(lgamma(k.m + 1) - lgamma(k.x + 1) - lgamma(k.m - k.x + 1) + k.x * ln(k.p) + (k.m - k.x) * ln(1 - k.p))) AS level FROM (SELECT i, j, m, 1 - pow(1 - 0.5 / last, o) AS p, unnest(range(CAST(floor(value * m + 1e-9) AS BIGINT), m + {0})) AS x FROM (SELECT r.i AS i, r.j AS j, value, CASE WHEN {1} THEN a.n ELSE b.n END AS m, CASE WHEN {1} THEN b.n ELSE a.n END AS o, last FROM ({2}) r JOIN nv a ON a.node = i JOIN nv b ON b.node = j, (SELECT max(t) AS last FROM em))) k GROUP BY 1, 2"
+for _window, _first in {"advanced": True, "retarded": False}.items():
+    add(f"event_significance_analytic_{_window}", lambda spark, sf, w=_window: (lambda h: E.analytic_significance(E.events_of(E.event_matrix(h, quantile=0.9)), float(h.agg(F.max("t")).first()[0]), 0.5, w))(D.event_hours(spark, sf)), f"SELECT i, j, {r6('level')} AS level FROM ({TAIL.format(int(_first), str(_first).upper(), eca_sql(_window, 0.5, 0.0))})", EVM + SPAN)
+add("event_significance_shuffled", lambda spark, sf: (lambda h: E.shuffle_significance(E.events_of(E.event_matrix(h, quantile=0.9)), h.select("t"), "ECA", "directed", "symmetric", 1.0, n_surrogates=20))(D.event_hours(spark, sf)))
+add("event_matrix_rules", lambda spark, sf: (lambda h: E.event_matrix(h, rules=h.select("node").distinct().select("node", F.when(F.length("node") % 2 == 0, "value").otherwise("quantile").alias("method"), F.when(F.length("node") % 2 == 0, 2.0).otherwise(0.4).alias("threshold"), (F.length("node") % 3 > 0).alias("above"))))(D.event_hours(spark, sf)), "SELECT node, t, CAST(CASE WHEN length(node) % 3 > 0 THEN x > lim ELSE x < lim END AS BIGINT) AS flag FROM obs JOIN (SELECT node, CASE WHEN length(node) % 2 = 0 THEN 2.0 ELSE quantile_cont(x, 0.4) END AS lim FROM obs GROUP BY node) USING (node)", D.HOURS)
 
 
 # dense and random: checked by rows here, by properties in the tests ------------------------------
@@ -379,7 +421,15 @@ def circuit(g: G.Graph) -> G.Graph:
 
 ADM = ", y AS (SELECT src, dst, CAST(least(a.k, b.k) AS DOUBLE) AS y FROM u JOIN du a ON a.id = src JOIN du b ON b.id = dst)"
 on_trade("admittive_degree", lambda g: N.admittive_degree(circuit(g), "r"), f"SELECT id, {r6('coalesce(sum(y), 0)')} AS value FROM n LEFT JOIN y ON src = id GROUP BY id", more=ADM)
-on_trade("neighbors_admittive_degree", lambda g: N.neighbors_admittive_degree(circuit(g), "r"), f"SELECT n.id AS id, {r6('coalesce(sum(y.y * s.s) / sum(y.y), 0)')} AS value FROM n LEFT JOIN y ON src = n.id LEFT JOIN (SELECT src AS id, sum(y) AS s FROM y GROUP BY 1) s ON s.id = dst GROUP BY n.id", more=ADM)
+on_trade("neighbors_admittive_degree", lambda g: N.neighbors_admittive_degree(circuit(g), "r"), f"SELECT n.id AS id, {r6('coalesce(sum(s.s) / max(o.s), 0)')} AS value FROM n LEFT JOIN u ON src = n.id LEFT JOIN (SELECT src AS id, sum(y) AS s FROM y GROUP BY 1) s ON s.id = dst LEFT JOIN (SELECT src AS id, sum(y) AS s FROM y GROUP BY 1) o ON o.id = n.id GROUP BY n.id", more=ADM)
+LAC = "SELECT n.id AS id, coalesce(max(t) / (max(o.s) * nullif(max(k) - 1, 0)), 0) AS value FROM n JOIN du USING (id) LEFT JOIN (SELECT a.src AS id, sum(a.y * b.y * c.y) AS t FROM y a JOIN y b ON b.src = a.dst JOIN y c ON c.src = b.dst AND c.dst = a.src GROUP BY 1) t ON t.id = n.id LEFT JOIN (SELECT src AS id, sum(y) AS s FROM y GROUP BY 1) o ON o.id = n.id GROUP BY n.id"
+on_trade("local_admittive_clustering", lambda g: N.local_admittive_clustering(circuit(g), "r"), f"SELECT id, {r6('value')} AS value FROM ({LAC})", more=ADM)
+on_trade("global_admittive_clustering", lambda g: N.global_admittive_clustering(circuit(g), "r"), f"SELECT {r6('avg(value)')} AS value FROM ({LAC})", more=ADM)
+on_trade("admittance_laplacian", lambda g: N.admittance_laplacian(circuit(g), "r"), f"SELECT src AS i, dst AS j, {r6('-y')} AS value FROM y UNION ALL SELECT id, id, {r6('coalesce(sum(y), 0)')} FROM n LEFT JOIN y ON src = id GROUP BY id", more=ADM)
+on_trade("pseudo_inverse", lambda g: N.pseudo_inverse(circuit(g), "r"))
+on_trade("effective_impedance", lambda g: N.effective_impedance(G.Graph(g.nodes, circuit(g).edges.withColumn("x", F.col("r") * 2), False), "r", "x"))
+on_trade("nsi_newman_betweenness", N.nsi_newman_betweenness)
+on_trade("nsi_arenas_betweenness", N.nsi_arenas_betweenness)
 on_trade("admittance", lambda g: N.admittance(circuit(g), "r"), f"SELECT src AS i, dst AS j, {r6('y')} AS value FROM y", more=ADM)
 on_trade("effective_resistance", lambda g: N.effective_resistance(circuit(g), "r"))
 on_trade("average_effective_resistance", lambda g: N.average_effective_resistance(N.effective_resistance(circuit(g), "r")))
@@ -390,13 +440,12 @@ on_trade("edge_current_flow_betweenness", lambda g: N.edge_current_flow_betweenn
 on_trade("randomly_rewire", lambda g: M.randomly_rewire(g, 50).edges.select("src", "dst"))
 on_trade("configuration_model", lambda g: M.configuration(G.degree(g)).edges.select("src", "dst"))
 add("erdos_renyi", lambda spark, sf: M.erdos_renyi(spark, 200, 0.05).edges.select("src", "dst"))
-add("watts_strogatz", lambda spark, sf: M.watts_strogatz(spark, 200, 6, 0.1).edges.select("src", "dst"))
+add("watts_strogatz", lambda spark, sf: M.watts_strogatz(spark, 200, 3, 0.1).edges.select("src", "dst"))
 add("barabasi_albert", lambda spark, sf: M.barabasi_albert(spark, 200, 3).edges.select("src", "dst"))
 on_months("surrogate_fourier", U.fourier)
 on_months("surrogate_aaft", U.aaft)
 on_months("surrogate_refined_aaft", U.refined_aaft)
 on_months("surrogate_twin", lambda o: U.twin_surrogates(o, 3.0))
-on_months("hilbert_coherence", lambda o: U.phase_coherence(U.hilbert(o)))
 add("windowed_event_counts", lambda spark, sf: windowed_counts(D.table(spark, sf, "events")).select("node", F.unix_timestamp("start").alias("start"), "n"), "SELECT event_type AS node, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 
 
