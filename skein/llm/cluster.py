@@ -2,18 +2,14 @@
 
 Intermediates are Parquet tables in the folder that the cluster names in
 ``spark.checkpoint.dir``: they outlive executors, cut the lineage and are
-readable everywhere. Only where that setting is absent (tests on one machine)
-a temporary folder of this process takes its place.
+readable everywhere (:mod:`skein.plans.runtime`).
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import os
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -22,20 +18,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local_dir: list[str] = []
+from ..plans import runtime
+from ..plans.runtime import discard, new_path
+from ..plans.runtime import durable as materialize
+
+__all__ = ["BATCH_BYTES", "Forest", "bytes_of", "connected_components", "discard", "ensure_workers", "materialize", "new_path", "partitions_for", "runs", "slices", "worker_cache"]
+
 _kept: dict[str, dict] = {}
 #: Bytes of text in one Arrow batch between Spark and Python.
 BATCH_BYTES = 8 << 20
 
 
 def ensure_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where only the driver has its folder on the path, and keep their batches small."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if root not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, have) if x)
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"  # else thousands of very long texts are one batch
+    """Let Python workers import this package, and keep their batches small: else thousands of very long texts are one batch."""
+    runtime.ensure_workers(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
@@ -52,44 +49,6 @@ def worker_cache(owner: str) -> dict:
     return _kept[owner]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediates: ``spark.checkpoint.dir``, else a temporary one of this process."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _local_dir:
-        _local_dir.append("file://" + tempfile.mkdtemp(prefix="skein-shared-"))
-    return _local_dir[0]
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark)}/skein-{kind}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, kind: str, few_files: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it from there: later jobs neither recompute nor lose it.
-
-    ``few_files``: for rows much smaller than what they are computed from; they are
-    dealt anew into partitions of even, advisory size, so that the heavy tasks write
-    no file each.
-    """
-    path = new_path(df.sparkSession, kind)
-    df = df.hint("rebalance") if few_files else df
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._skein_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a materialised DataFrame that nothing will read again."""
-    path = getattr(df, "_skein_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -317,10 +317,13 @@ def test_top_k(vectors):
 # models ----------------------------------------------------------------------------------------
 
 
+SMALL = {"groups": 4, "class_words": 8, "class_tokens": 1 << 30, "least_classes": 2}
+
+
 def test_lm_scores(spark, docs, none):
     more = spark.createDataFrame([(100 + k, text(k, 30)) for k in range(300)], "doc_id long, text string")
     every = docs.select("doc_id", "text").union(more)
-    got = lm_score.score_documents(every, vocabulary=20, frequent=25).collect()
+    got = lm_score.score_documents(every, vocabulary=20, **SMALL).collect()
     rows = [(r.doc_id, lm_score.words_of((r.text or "").encode())) for r in every.collect()]
     train = lambda d: d is None or zlib.crc32(str(d).encode()) % 10 != 0
     c = Counter(w for d, ws in rows if train(d) for w in ws)
@@ -329,6 +332,63 @@ def test_lm_scores(spark, docs, none):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert {r.train_tokens for r in got} == {n} and all(r.score < 0 for r in got)
     assert lm_score.score_documents(none).count() == 0
+    unseen = lm_score.score_documents(docs.filter("doc_id = 7").withColumn("doc_id", F.lit(10).cast("long")))  # crc32("10") mod 10 is not 0
+    assert unseen.first().score < 0
+
+
+def test_lm_scores_by_brute_force(spark):
+    """The whole model by dictionaries: every symbol, class, sub-class and word, token by token."""
+    rng = np.random.default_rng(8)
+    names = [f"w{k}" for k in range(60)]
+    chance = 1 / (1 + np.arange(60.0))
+    rows = [(k, " ".join(rng.choice(names, int(rng.integers(0, 40)), p=chance / chance.sum())) + (" Fresh" if k % 7 == 0 else "")) for k in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    learned = d.filter(lm_score.is_training())
+    counts = lm_score.materialize(lm_score.count_words(learned), "counts")
+    v = lm_score.learn_vocabulary(counts, 0.1, 10, **SMALL)
+    model = lm_score.train_model(learned, v, 4)
+    got = {r.doc_id: r.score for r in lm_score.score_with(d, counts, v, model).collect()}
+    c = Counter({bytes(r.word): r.c for r in counts.collect()})
+    assert v.words == [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:10]] and v.classes % v.groups == 0 and v.classes > v.groups
+    one, two = lm_score.context_rows(model)
+    symbol = lambda w: v.words.index(w) if w in v.words else 10 + zlib.crc32(w) % v.classes % v.groups
+    by_class = {k: sorted((w for w in c if w not in v.words and zlib.crc32(w) % v.classes == k), key=lambda w: (-c[w], w)) for k in range(v.classes)}
+    texts = {k: lm_score.words_of(t.encode()) for k, t in rows}
+    contexts = {k: [(symbol(ws[i - 1]) if i else len(v.unigram), symbol(ws[i - 2]) if i > 1 else len(v.unigram)) for i in range(len(ws))] for k, ws in texts.items()}
+    fitted = {}
+    for k, ws in by_class.items():
+        fitted[k] = lm_score.ClassModel(np.array([c[w] for w in ws], float), 4)
+        seen = [(one[a] + two[b], ws.index(w)) for doc in texts if zlib.crc32(str(doc).encode()) % 10 != 0 for w, (a, b) in zip(texts[doc], contexts[doc]) if w in ws]
+        fitted[k].train(np.array([h for h, _ in seen], np.float32).reshape(-1, 4), np.array([y for _, y in seen], np.int64), 5 + k)
+
+    def soft(h, q, b):
+        z = np.exp(q.astype(float) @ h + b)
+        return z / z.sum()
+
+    def probabilities(a, b):  # of every word after a, b one and two places before, and of an unseen one of each class
+        h = (one[a] + two[b]).astype(float)
+        first = soft(h, model.q, model.b)
+        out = {w: first[k] for k, w in enumerate(v.words)}
+        for k, ws in by_class.items():
+            f = fitted[k]
+            total = sum(c[w] for w in ws)
+            share = first[10 + k % v.groups] * (total + 0.1) / (v.group_counts[k % v.groups] + 0.1 * v.classes / v.groups)
+            unseen = 0.1 / (total + 0.1 * (len(ws) + 1))
+            out[k] = share * unseen
+            nodes = soft(h, f.qn, f.bn) if ws else []
+            for j, w in enumerate(ws):
+                lo = j // f.fan * f.fan
+                out[w] = share * (1 - unseen) * nodes[j // f.fan] * soft(h, f.qw[lo : lo + f.fan], f.bw[lo : lo + f.fan])[j - lo]
+        return out
+
+    for a, b in ((0, 0), (3, 11), (len(v.unigram), len(v.unigram))):
+        assert sum(probabilities(a, b).values()) == pytest.approx(1, abs=1e-5)
+    for k, ws in list(texts.items())[:60]:
+        want = 0.0
+        for w, (a, b) in zip(ws, contexts[k]):
+            p = probabilities(a, b)
+            want += math.log10(p[w] if w in p else p[zlib.crc32(w) % v.classes])
+        assert got[k] == pytest.approx(want, abs=1e-3), k
 
 
 def test_lm_is_normalised():
