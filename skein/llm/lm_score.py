@@ -23,15 +23,15 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import bytes_of, ensure_workers, materialize, partitions_for, runs, slices, worker_cache
+from .cluster import ensure_workers, materialize, partitions_for, runs, slices, worker_cache
 
 #: The end of a text; no word holds white space.
 END = b"\n"
@@ -146,6 +146,15 @@ def words_of(text: bytes) -> list[bytes]:
     return out
 
 
+def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """:func:`words_of` without the ends, of all texts one after the other, and each text's number of words; in Arrow, null as empty."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat, offsets = split.flatten(), np.asarray(split.offsets, np.int64)
+    keep = np.asarray(pc.binary_length(flat)) > 0  # white space at a text's ends leaves empty words
+    upto = np.concatenate(([0], np.cumsum(keep)))[offsets - offsets[0]]
+    return flat.filter(pa.array(keep)) if not keep.all() else flat, np.diff(upto)
+
+
 def is_training() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(True))
 
@@ -163,8 +172,11 @@ def count_words(docs: DataFrame, most: int = 200_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 50_000], pa.binary()), pa.array(n[a : a + 50_000], pa.int64())], names=["word", "n"])
 
         for batch in slices(batches, "text"):
-            for t in bytes_of(batch.column(0)):
-                seen.update(words_of(t))
+            flat, _ = _words(batch.column(0))
+            found = flat.value_counts()
+            for w, n in zip(found.field(0).cast(pa.binary()).to_pylist(), found.field(1).to_pylist(), strict=True):
+                seen[w] += n
+            seen[END] += batch.num_rows
             if len(seen) > most:
                 yield from rows()
         yield from rows()
@@ -204,7 +216,7 @@ class Vocabulary:
         return u / u.sum()
 
 
-def learn_vocabulary(counts: DataFrame, add: float = 0.1, words: int = 2047, groups: int = 256, class_tokens: int = 1 << 19, class_words: int = 1 << 15, least_classes: int = 64) -> Vocabulary:
+def learn_vocabulary(counts: DataFrame, add: float = 0.1, words: int = 2047, groups: int = 128, class_tokens: int = 1 << 17, class_words: int = 1 << 15, least_classes: int = 64) -> Vocabulary:
     """Choose the frequent words and the number of classes from ``counts(word, c)``.
 
     The ``words`` most frequent ones (ties by word) are found by a histogram of the
@@ -249,16 +261,20 @@ class _Batch:
     owner: np.ndarray
 
 
-def _read(texts: list[bytes], place: dict[bytes, int], classes: int, groups: int) -> _Batch:
-    split = [words_of(t) for t in texts]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    coded = pa.array(list(chain.from_iterable(split)), pa.large_binary()).dictionary_encode()
-    words = coded.dictionary.to_pylist()
+def _read(column: pa.Array, place: dict[bytes, int], classes: int, groups: int) -> _Batch:
+    flat, n = _words(column)
+    coded = flat.dictionary_encode()
+    words = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    lengths = n + 1
+    codes = np.full(int(lengths.sum()), len(words) - 1, np.int64)
+    inner = np.ones(len(codes), bool)
+    inner[np.cumsum(lengths) - 1] = False
+    codes[inner] = np.asarray(coded.indices)
     at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
     owner = np.zeros(len(words), np.int64)
     rare = np.flatnonzero(at < 0)
     owner[rare] = [zlib.crc32(words[k]) % classes for k in rare.tolist()]
-    return _Batch(words, np.asarray(coded.indices, np.int64), lengths, np.where(at < 0, len(place) + owner % groups, at), at, owner)
+    return _Batch(words, codes, lengths, np.where(at < 0, len(place) + owner % groups, at), at, owner)
 
 
 def train_model(docs: DataFrame, vocabulary: Vocabulary, dim: int = 16, seed: int = 5, shares: tuple[int, ...] = (1, 4, 11)) -> LogBilinear:
@@ -286,7 +302,7 @@ def train_model(docs: DataFrame, vocabulary: Vocabulary, dim: int = 16, seed: in
         def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             t = Trainer(now, unigram, seed + TaskContext.get().partitionId())
             for batch in slices(batches, "text", most=4 << 20):
-                b = _read(bytes_of(batch.column(0)), place, classes, groups)
+                b = _read(batch.column(0), place, classes, groups)
                 ids = b.symbol[b.codes]
                 c2, c1 = _contexts(ids, b.lengths, before)
                 t.learn(c2, c1, ids)
@@ -449,7 +465,7 @@ def score_with(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: LogBili
         """A row of kind 2 with the texts' sums over the frequent words, and one of kind 1 for each class of other words: theirs, each token's word, contexts and text."""
         tables, uid = tables_of(model), TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", rows=1024, most=4 << 20):
-            b = _read(bytes_of(batch.column(2)), place, classes, groups)
+            b = _read(batch.column(2), place, classes, groups)
             symbol = b.symbol[b.codes]
             c2, c1 = _contexts(symbol, b.lengths, before)
             lm = tables.log10(c2, c1, symbol)
