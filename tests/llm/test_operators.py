@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -218,7 +219,8 @@ def test_html(spark):
     assert html_extract.extract_main_text(pages.filter("false")).count() == 0
 
 
-STORY = "<h1>Head</h1><p>" + "long story words " * 20 + "</p>"
+STORY = "<h1>Head</h1><p>" + "long story words " * 20 + "end.</p><p>" + "and so it goes on " * 9 + "here.</p>"
+TOLD = "Head " + "long story words " * 20 + "end. " + "and so it goes on " * 9 + "here."
 SIDE = '<div class="sidebar"><p>Side words here</p></div><div id="comments"><p>First comment</p></div>'
 
 
@@ -226,16 +228,54 @@ SIDE = '<div class="sidebar"><p>Side words here</p></div><div id="comments"><p>F
     "page",
     [
         f'<div class="content with-sidebar">{STORY}{SIDE}</div>',
+        f'<div class="has-sidebar"><article>{STORY}</article></div>',
+        f'<div class="entry no-comments"><article>{STORY}</article></div>',
+        f'<div class="post search-engines"><article>{STORY}</article></div>',
+        f'<article class="post search-engines">{STORY}</article>',
         f'<div id="page" class="no-sidebar"><article>{STORY}</article>{SIDE}</div>',
         f'<div class="search-result"><div class="share-layout"><main>{STORY}</main></div>{SIDE}</div>',
         f'<div role="main" class="with-sidebar">{STORY}{SIDE}</div>',
         f'<main><div class="related-layout">{STORY}{SIDE}</div></main>',
         f'<div class="has-header"><article>{STORY}</article><div id="comments"><article>{"A reader says so. " * 60}</article></div></div>',
+        f'<article>{STORY}</article><section><article class="comment"><p>{"A reader says so. " * 20}</p></article></section>',
         f'<div>{STORY}</div><div id="comments"><p>{"A reader says so. " * 30}</p></div>',
+        f'<div>Home | About us | Contact | Imprint</div><div>{STORY}</div><div>© 2024 Someone. All rights reserved.</div>',
+        f'<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul><div>{STORY}</div><p><a href="/x">Next</a></p>',
+        f'<main>{STORY.replace("</p><p>", "</p><aside><p>Read this too, it is very good.</p></aside><div class=share>Tweet it</div><p>")}</main>',
     ],
 )
-def test_html_wrappers_with_marks_keep_the_article(page):
-    assert html_extract.extract(page, html_extract.fit_weights({})) == "Head " + ("long story words " * 20).strip()
+def test_html_keeps_the_article(page):
+    assert html_extract.extract(page, html_extract.fit_weights({})) == TOLD
+
+
+def test_html_weights_follow_the_labels():
+    """What labelled pages show is learned, in either direction; the labels' own tags are no feature."""
+    page = lambda k: f'<article><div class="widget"><p>{"Good words in here. " * (20 + k)}</p></div></article><div class="teaser"><blockquote>{"Other words out there. " * 5}</blockquote></div>'
+    counts = Counter()
+    for k in range(30):
+        counts.update(html_extract.count_features(page(k)))
+    w = html_extract.fit_weights(counts)
+    assert w["in:blockquote"] < -0.5 < 0.5 < w["in:p"] and not any(f.startswith("in:article") for f in w)
+    assert {i for (f, i) in counts if "in:p" in f} == {True}
+    text = "<div><p>" + "Good words in here. " * 9 + "</p></div><blockquote>" + "Other words out there. " * 5 + "</blockquote>"
+    assert html_extract.extract(text, w) == ("Good words in here. " * 9).strip()
+
+
+def test_html_region_by_brute_force():
+    """On whole pages no other contiguous run of words and tags scores more."""
+    weights = html_extract.fit_weights({})
+    for page in (PAGE, f"<div>Home | About</div>{STORY}{SIDE}<p>x</p>", "<p>one.</p><nav>two</nav><li>three<p>four five six seven.</p>"):
+        p = html_extract.parse(page)
+        scores, _ = html_extract.scored(p, weights)
+        a, b = html_extract.best_region(scores)
+        assert sum(scores[a:b]) == pytest.approx(max(sum(scores[i:j]) for i in range(len(scores)) for j in range(i, len(scores) + 1)))
+
+
+@pytest.mark.parametrize("page", ["<b></i>" * 100_000, "<p><div>" + "<b>" * 50_000 + "<hr>" * 50_000, "<li>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, '<div class="ad">' * 50_000 + "x"])
+def test_html_is_linear(page):
+    start = time.perf_counter()
+    html_extract.extract(page, html_extract.fit_weights({}))
+    assert time.perf_counter() - start < 20
 
 
 @settings(max_examples=100, deadline=None)
