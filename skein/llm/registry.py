@@ -27,8 +27,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(language_id.training_rows(docs)))
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skein.llm import embedding_dedup, html_extract, language_id, lm_score, mixing, packing, simhash, token_counts, token_files, topk_search
+from skein.llm import embedding_dedup, html_extract, language_id, lm_score, mixing, packing, registry, simhash, token_counts, token_files, topk_search
 from skein.llm.cluster import connected_components
 from skein.llm.tokenizing import WordEncoder, tokenizer_path
 
@@ -311,6 +311,34 @@ def test_language_id(spark, none):
     assert language_id.identify(none, language_id.fit(none)).count() == 0
 
 
+FOREIGN = [
+    "ja se on niin kuin se on ollut ennen mutta nyt kaikki on toisin eikä kukaan tiedä miksi näin kävi",
+    "że nie wszystko jest takie jak się wydaje ale przecież można spróbować jeszcze raz od początku",
+    "это не совсем то что мы хотели сказать но пусть будет так как есть до завтрашнего дня",
+    "xqzv kjwp zzkq vbnm qwxz jjkv pqzx wvkq zxcv kkqj vzzp qxjw bvkz pzqx jwvk qqzz xkcd",
+    "这是一个很长的句子没有任何意义只是为了测试",
+]
+
+
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    rng = np.random.default_rng(0)
+    rows = [(k, " ".join(rng.choice(GERMAN if k % 2 else WORDS, 20 + k % 60)), "de" if k % 2 else "en") for k in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(language_id.training_rows(d))
+    assert model.predict([t for _, t, _ in rows])[2].mean() < 0.005
+    assert model.predict(FOREIGN)[2].all()
+    mixed = spark.createDataFrame([*rows, *[(2000 + k, t, None) for k, t in enumerate(FOREIGN)]], "doc_id long, text string, lang string")
+    assert max(r.doc_id for r in language_id.keep_identified(mixed, model).collect()) < 2000
+
+
+def test_language_id_query(spark, tmp_path):
+    rows = [(k, " ".join(np.random.default_rng(k).choice(GERMAN if k % 2 else WORDS, 30)), "de" if k % 2 else "en") for k in range(100)]
+    spark.createDataFrame([*rows, (None, "the of and", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op3_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 101 and {r.held_out for r in got if r.doc_id is None} == {False}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
+
+
 # vectors ---------------------------------------------------------------------------------------
 
 
