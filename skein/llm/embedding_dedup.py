@@ -19,7 +19,7 @@ def usable(column: str = "embedding") -> F.Column:
     return F.col(column).isNotNull() & (F.size(column) > 0) & ~F.coalesce(bad, F.lit(True))
 
 
-def plan_tables(n: int, cosine: float, bucket: int = 48, recall: float = 0.998) -> tuple[int, int]:
+def plan_tables(n: int, cosine: float, bucket: int = 1024, recall: float = 0.998) -> tuple[int, int]:
     """(bits, tables): buckets of about ``bucket`` among ``n`` scattered vectors, and enough tables that a pair at exactly ``cosine`` shares a bucket of one with probability ``recall``."""
     bits = min(max(round(math.log2(max(n, 1) / bucket)), 4), 30)
     alike = (1 - math.acos(cosine) / math.pi) ** bits
@@ -49,17 +49,35 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, bucket: int = 48, recall: float = 0.998, tile: int = 256, seed: int = 7) -> DataFrame:
+def pack(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors as 16-bit integers of one step for each vector, and that step; see :func:`unpack`."""
+    step = np.abs(v).max(axis=1) / 32767
+    return np.rint(v / step[:, None]).astype("<i2"), step
+
+
+def unpack(q: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return q * step[:, None]
+
+
+def error(dim: int) -> float:
+    """How far the cosine of two packed unit vectors can be from that of the vectors: each is off by half a step in every component, at most 1 / 65534."""
+    e = math.sqrt(dim) / 65534
+    return 2 * e + e * e + 1e-12
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, bucket: int = 1024, recall: float = 0.998, tile: int = 4096, seed: int = 7) -> DataFrame:
     """Link vectors with cosine >= ``cosine``; count links and name each one's component.
 
     Takes ``vectors(vec_id, embedding)``, other columns ignored. Equal vectors are
     one class first. Each class goes to one bucket in each of several tables of
     sign hashes (:func:`plan_tables`; nothing caps a bucket: one with more than
-    ``tile`` classes is split into tiles, each pair of which is compared). Within a
-    tile pair all cosines are computed in double precision; a pair that several
-    tables find counts in the first. Tile pairs send each class's number of links
-    and a spanning star of them, never the pairs. Vectors of different lengths
-    don't link.
+    ``tile`` classes is split into tiles, each pair of which is compared). Buckets get
+    the unit vectors as 16-bit integers with each table's bucket beside; all cosines of
+    a tile pair are computed from those, with a bound on the rounding. Pairs that the
+    bound leaves open, a few in a million, are decided by the vectors themselves in
+    double precision; a pair that several tables find counts in the first. Tile pairs
+    send each class's number of links and a spanning star of them, never the pairs.
+    Vectors of different lengths don't link.
 
     Returns a row per input row: ``vec_id, n_links`` (other vectors linked
     directly), ``component_id`` (smallest vec_id reachable, itself included),
@@ -72,78 +90,118 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, bucket: int = 48, r
     rows = vectors.select("vec_id", F.col("embedding").alias("v"), usable().alias("ok"))
     rows = rows.withColumn("ok", F.col("ok") & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False)))
     # equal vectors: -0.0 and 0.0 are the same number
-    keyed = rows.select("vec_id", F.when(F.col("ok"), F.transform("v", lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
+    keyed = rows.select("vec_id", F.when(F.col("ok"), F.transform("v", lambda x: x + F.lit(0.0).cast("float" if "float" in dict(rows.dtypes)["v"] else "double"))).alias("v"))
     hashed = keyed.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
     members = materialize(hashed.select("vec_id", "h1", "h2", F.col("v").isNotNull().alias("ok")), "members")
     grouped = hashed.filter("v is not null").groupBy("h1", "h2", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     classes = materialize(grouped.withColumn("class", F.xxhash64("h1", "h2")), "classes")
     n = classes.count()
     bits, tables = plan_tables(n, cosine, bucket, recall)
+    kind = np.dtype("<u1") if bits <= 8 else np.dtype("<u2") if bits <= 16 else np.dtype("<u4")
 
-    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_length(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
         for batch in batches:
-            sizes = np.asarray(batch.column(1).value_lengths())
+            sizes = np.asarray(batch.column(column).value_lengths())
             for dim in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == dim))
                 for a in range(0, part.num_rows, 1024):
-                    sub = part.slice(a, 1024)
-                    sig = signatures(_unit(matrix(sub.column(1))), bits, tables, seed)
-                    k = sub.num_rows
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(np.arange(tables, dtype=np.int32), k)), pa.array(sig.ravel()), pa.array(np.full(k * tables, dim, np.int32)), sub.column(0).take(pa.array(np.repeat(np.arange(k), tables)))],
-                        names=["table", "bucket", "dim", "class"],
-                    )
-
-    spots = materialize(classes.select("class", "v").mapInArrow(bucketed, "table int, bucket long, dim int, class long"), "buckets")
-    big = spots.groupBy("table", "bucket", "dim").count().filter(F.col("count") > tile).select("table", "bucket", "dim", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
-    placed = spots.join(big, ["table", "bucket", "dim"], "left").select("table", "bucket", "dim", "class", F.coalesce("tiles", F.lit(1)).alias("tiles"))
+                    yield dim, part.slice(a, 1024)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sizes of a task's parts of the buckets."""
+        for dim, part in by_length(batches, 0):
+            sig = signatures(_unit(matrix(part.column(0))), bits, tables, seed)
+            for t in range(tables):
+                at, c = np.unique(sig[:, t], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(at), pa.array(np.full(len(at), dim, np.int32)), pa.array(c)], names=["table", "bucket", "dim", "n"])
+
+    place = ["table", "bucket", "dim"]
+    sizes = classes.select("v").mapInArrow(count, "table int, bucket long, dim int, n long").groupBy(*place).agg(F.sum("n").alias("n"))
+    big = materialize(sizes.filter(F.col("n") > tile).select(*place, F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "tiles", few_files=True)
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, part in by_length(batches, 1):
+            v = _unit(matrix(part.column(1)))
+            sig, (q, step) = signatures(v, bits, tables, seed), pack(v)
+            k = part.num_rows
+            own = pa.array([x.tobytes() + s.tobytes() for x, s in zip(q, sig.astype(kind), strict=True)], pa.binary())
+            take = pa.array(np.repeat(np.arange(k), tables))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.tile(np.arange(tables, dtype=np.int32), k)), pa.array(sig.ravel()), pa.array(np.full(k * tables, dim, np.int32)), part.column(0).take(take), part.column(2).take(take), pa.array(step).take(take), own.take(take)],
+                names=[*place, "class", "copies", "step", "q"],
+            )
+
+    spots = classes.select("class", "v", "copies").mapInArrow(bucketed, "table int, bucket long, dim int, class long, copies long, step double, q binary")
+    placed = spots.join(big, place, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))) if not big.isEmpty() else spots.withColumn("tiles", F.lit(1))
     placed = placed.withColumn("tile", F.pmod("class", "tiles").cast("int"))
-    met = placed.select("table", "bucket", "dim", "class", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    pairs = met.select("table", "bucket", "dim", F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), "tile", "class").join(classes.select("class", "v", "copies"), "class")
-    key = ["table", "bucket", "dim", "left", "right"]
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    pairs = met.select(*place, F.least("tile", "other").alias("left"), F.greatest("tile", "other").alias("right"), "tile", "class", "copies", "step", "q")
+    key = [*place, "left", "right"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of links and stars, and of open pairs (``other``)."""
         out: list[tuple[np.ndarray, ...]] = []
+        held = 0
 
         def flush():
-            a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
+            a, b, c, d = (np.concatenate(x) for x in zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == a), pa.array(c)], names=["class", "root", "links"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == a), pa.array(c), pa.array(d, mask=c >= 0)], names=["class", "root", "links", "other"])
 
         for (table, _, dim, left, right), group in runs(batches, key):
             if group.num_rows < 2:
                 continue
-            v, ids, tiles = _unit(matrix(group.column("v"))), np.asarray(group.column("class")), np.asarray(group.column("tile"))
-            copies, sig = np.asarray(group.column("copies")), signatures(v, bits, tables, seed)[:, :table]
+            raw = b"".join(group.column("q").to_pylist())
+            own = np.frombuffer(raw, np.uint8).reshape(group.num_rows, -1)
+            v = unpack(np.ascontiguousarray(own[:, : 2 * dim]).view("<i2"), np.asarray(group.column("step")))
+            sig = np.ascontiguousarray(own[:, 2 * dim :]).view(kind)[:, :table]
+            ids, tiles, copies = np.asarray(group.column("class")), np.asarray(group.column("tile")), np.asarray(group.column("copies"))
             one, two = np.flatnonzero(tiles == left), np.flatnonzero(tiles == right)
-            forest, links = Forest(len(ids)), np.zeros(len(ids), np.int64)
-            for a in range(0, len(one), 128):
-                i = one[a : a + 128]
-                hit = v[i] @ v[two].T >= cosine
+            forest, links, slack = Forest(len(ids)), np.zeros(len(ids), np.int64), error(dim)
+            step = max(1, (1 << 20) // max(len(two), 1))
+            for a in range(0, len(one), step):
+                i = one[a : a + step]
+                c = v[i] @ v[two].T
+                hit = c >= cosine - slack
                 if left == right:
                     hit &= i[:, None] < two  # each pair once
-                x, y = np.nonzero(hit)
-                x, y = i[x], two[y]
-                if not len(x):
+                r, s = np.nonzero(hit)
+                if not len(r):
                     continue
-                # the product's rounding depends on the block: decide near the border alike everywhere
-                exact = np.einsum("ij,ij->i", v[x], v[y]) >= cosine
-                first = exact & ~(sig[x] == sig[y]).any(axis=1)
-                x, y = x[first], y[first]
-                np.add.at(links, x, copies[y])
-                np.add.at(links, y, copies[x])
+                x, y, sure = i[r], two[s], c[r, s] >= cosine + slack
+                first = ~(sig[x] == sig[y]).any(axis=1)
+                open_ = first & ~sure
+                if open_.any():
+                    k = int(open_.sum())
+                    out.append((ids[x[open_]], ids[x[open_]], np.full(k, -1), ids[y[open_]]))
+                    held += k
+                x, y = x[first & sure], y[first & sure]
+                links += np.bincount(x, weights=copies[y], minlength=len(ids)).astype(np.int64) + np.bincount(y, weights=copies[x], minlength=len(ids)).astype(np.int64)
                 forest.link(x, y)
             some = np.flatnonzero(links)
             if len(some):
-                out.append((ids[some], ids[forest.roots(some)], links[some]))
-                if len(out) >= 200:
-                    yield flush()
+                out.append((ids[some], ids[forest.roots(some)], links[some], ids[some]))
+                held += len(some)
+            if held >= 20_000:
+                yield flush()
+                held = 0
         if out:
             yield flush()
 
-    found = materialize(pairs.repartition(partitions_for(spark), *key).sortWithinPartitions(*key).mapInArrow(compare, "class long, root long, links long"), "links")
-    component = connected_components(found.filter("root is not null").select(F.col("class").alias("src"), F.col("root").alias("dst")))
-    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    found = materialize(pairs.repartition(partitions_for(spark), *key).sortWithinPartitions(*key).mapInArrow(compare, "class long, root long, links long, other long"), "links")
+    vector = classes.select("class", "v", "copies")
+    asked = found.filter("other is not null").select("class", "other")
+    both = asked.join(vector.toDF("class", "v1", "c1"), "class").join(vector.toDF("other", "v2", "c2"), "other").select("class", "other", "v1", "v2", "c1", "c2")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, part in by_length(batches, 2):
+            yield part.filter(pa.array(np.einsum("ij,ij->i", _unit(matrix(part.column(2))), _unit(matrix(part.column(3)))) >= cosine)).select([0, 1, 4, 5])
+
+    near = materialize(both.mapInArrow(decide, "class long, other long, c1 long, c2 long"), "near", few_files=True)
+    sure = found.filter("other is null")
+    stars = sure.filter("root is not null").select(F.col("class").alias("src"), F.col("root").alias("dst")).union(near.select("class", "other"))
+    component = connected_components(stars)
+    links = sure.select("class", "links").union(near.select("class", "c2")).union(near.select("other", "c1")).groupBy("class").agg(F.sum("links").alias("links"))
     labelled = (
         classes.select("class", "h1", "h2", "copies", "first_id")
         .join(links, "class", "left")

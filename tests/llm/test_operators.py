@@ -368,6 +368,19 @@ def test_near_duplicates(vectors):
     assert embedding_dedup.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_near_duplicates_at_the_border(spark):
+    """Pairs within the rounding of packed vectors are decided by the vectors: cosines a little under, at and over 0.9."""
+    rows = [(0, [1.0, 0.0])] + [(k + 1, [c, math.sqrt(1 - c * c)]) for k, c in enumerate((0.9 - 1e-9, 0.9 + 1e-9, 0.9 - 1e-5, 0.9 + 1e-5, 0.5))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, recall=0.999999).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    assert got == {i: sum(bool(unit[i] @ unit[j] >= 0.9) for j in range(len(rows)) if j != i) for i in range(len(rows))}
+    rng = np.random.default_rng(1)
+    v = embedding_dedup._unit(rng.standard_normal((200, 64)))
+    q, step = embedding_dedup.pack(v)
+    assert np.abs(embedding_dedup.unpack(q, step) @ embedding_dedup.unpack(q, step).T - v @ v.T).max() <= embedding_dedup.error(64)
+
+
 def test_top_k(vectors):
     rows, df = vectors
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0, buckets=7, block=64).collect())
