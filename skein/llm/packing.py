@@ -67,7 +67,13 @@ def pieces_of(n: int, size: int) -> list[tuple[int, int]]:
 SCHEMA = "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, length: int = 2048, open_bins: int = 16384) -> DataFrame:
+def _fewer(docs: DataFrame, least_rows: int) -> DataFrame:
+    """The rows in no more partitions than two for each core or one for ``least_rows`` rows, whichever is more; without a shuffle."""
+    most = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // least_rows), 1)
+    return docs.coalesce(most) if docs.rdd.getNumPartitions() > most else docs
+
+
+def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, length: int = 2048, open_bins: int = 16384, least_rows: int = 1 << 16) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into sequences of at most ``length`` tokens.
 
     A document's ids (whole text, null as empty, no special tokens) end with
@@ -75,8 +81,9 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
     that may be shorter. Every task packs what it reads, without a shuffle: a
     batch's pieces, the longest first, go to the fullest open bin that takes them
     (:class:`OpenBins`). Bins stay open from batch to batch, at most
-    ``open_bins`` of them, so memory doesn't depend on the input; a task leaves
-    its last bins part-filled.
+    ``open_bins`` of them, so memory doesn't depend on the input. A task leaves its
+    last bins part-filled, most of a sequence in all; so that this doesn't add up, small
+    partitions are read together by one task (:func:`_fewer`).
 
     Returns one row per piece: ``doc_id, piece, start, length, ids`` (little-endian
     unsigned 32-bit), ``sequence_id`` (unique, not dense) and ``offset`` (gapless
@@ -111,4 +118,4 @@ def pack_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id
                     names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(pack, SCHEMA)
+    return _fewer(docs.select("doc_id", "text"), least_rows).mapInArrow(pack, SCHEMA)

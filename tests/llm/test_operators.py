@@ -107,6 +107,33 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_stays_near_the_bound_over_many_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(211)
+    rows = packing.pack_documents(docs).select("sequence_id", "length").collect()
+    bound = -(-sum(r.length for r in rows) // 2048)
+    assert len({r.sequence_id for r in rows}) <= bound + 0.7 * 2 * spark.sparkContext.defaultParallelism + 1
+
+
+def test_best_fit_by_lists():
+    """The bitset's placement against open bins in a list: the tightest that fits, the fullest closes when there are too many."""
+    rng = np.random.default_rng(0)
+    bins, free, next_id = packing.OpenBins(50, 6, 0), [], 0
+    for n in rng.integers(1, 51, 2000).tolist():
+        fits = [b for b in free if b[0] >= n]
+        if fits:
+            b = min(fits, key=lambda b: b[0])
+            free = [x for x in free if x is not b]
+            want = b[0]
+        else:
+            b, want, next_id = [50, next_id], 50, next_id + 1
+        got = bins.put(n)
+        assert got[1] == 50 - want  # bins of equal space are alike
+        if want - n:
+            free.append([want - n, got[0]])
+            if len(free) > 6:
+                free.remove(min(free, key=lambda b: b[0]))
+
+
 def test_open_bins_close_the_fullest():
     b = packing.OpenBins(10, 2, 0)
     assert b.put(6) == (0, 0) and b.put(7) == (1, 0)
@@ -381,20 +408,36 @@ def test_near_duplicates_at_the_border(spark):
     assert np.abs(embedding_dedup.unpack(q, step) @ embedding_dedup.unpack(q, step).T - v @ v.T).max() <= embedding_dedup.error(64)
 
 
-def test_top_k(vectors):
-    rows, df = vectors
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0, buckets=7, block=64).collect())
-    q = [(k, [math.floor(256 * x) for x in v]) for k, v in rows if good(v) and k is not None]
+def best_of(rows, k=5, scale=256):
+    q = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if good(v) and i is not None]
     want = []
-    for k, v in q:
-        if k % 50 == 0:
-            found = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in q if j != k and len(w) == len(v))[:5]
-            want += [(k, r + 1, j, -s) for r, (s, j) in enumerate(found)]
-    assert got == sorted(want)
-    assert topk_search.top_k(df.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
+    for i, v in q:
+        if i % 50 == 0:
+            found = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in q if j != i and len(w) == len(v))[:k]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("most_bytes", [32 << 20, 0])
+def test_top_k(vectors, most_bytes):
+    rows, df = vectors
+    ask = lambda d, **o: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(d, F.col("vec_id") % 50 == 0, **o).collect())
+    assert ask(df, buckets=7, block=64, query_block=3, most_bytes=most_bytes) == best_of(rows)
+    assert ask(df.filter("false")) == []
     assert topk_search.top_k(df.filter("vec_id in (50, 51)"), F.col("vec_id") == 50).count() == 1
 
 
+def test_top_k_of_large_numbers(spark):
+    """Scores beyond 2^53 are exact; ones that may not fit 64 bits raise."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(x) for x in rng.integers(-(1 << 20), 1 << 20, 3)]) for k in range(120)] + [(200 + k, [float((1 << 21) + k), 1.0, -1.0]) for k in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == best_of(rows) and max(r[3] for r in got) > 1 << 53
+    with pytest.raises(ValueError):
+        topk_search.top_k(spark.createDataFrame([(0, [1e10]), (1, [4e10])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+
+
 # models ----------------------------------------------------------------------------------------
 
 
