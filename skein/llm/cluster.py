@@ -49,8 +49,13 @@ def worker_cache(owner: str) -> dict:
     return _kept[owner]
 
 
-def partitions_for(spark: SparkSession, least: int = 1) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def partitions_for(spark: SparkSession, source: DataFrame | None = None, most_bytes: int = 256 << 20) -> int:
+    """How many partitions to deal out to: the session's number of shuffle partitions, or more if those of ``source``, by the size of its files, would be over ``most_bytes``."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    if source is None:
+        return n
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n, min(-(-size // most_bytes), 1 << 20))
 
 
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

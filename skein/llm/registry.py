@@ -64,8 +64,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-#: op8's contract in SQL; the other operators are tested against brute force in tests/llm.
+#: op4's and op8's contracts in SQL; the other operators are tested against brute force in tests/llm.
 ORACLE_SQL = {
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e,
+    embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok
+  FROM embeddings
+), u AS (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v WHERE ok
+), l AS (
+  SELECT a.vec_id AS i, b.vec_id AS j FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9
+), r(i, j) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.i, l.j FROM r JOIN l ON l.i = r.j
+)
+SELECT v.vec_id AS vec_id, coalesce(n, 0) AS n_links, c AS component_id, v.vec_id = c AS kept
+FROM v JOIN (SELECT i, min(j) AS c FROM r GROUP BY i) m ON m.i = v.vec_id LEFT JOIN (SELECT i, count(*) AS n FROM l GROUP BY i) k ON k.i = v.vec_id
+""",
     "op8_top_k_search": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e

@@ -122,16 +122,16 @@ class PlaneReader:
 
     def documents(self) -> Iterator[tuple[int | None, int, bytes]]:
         """(doc id, ids before it in this file, its ids)."""
-        held, k, start = b"", 0, 0
+        held, at, k, start = b"", 0, 0, 0
         for doc_id, n, null in zip(self.doc_ids.tolist(), self.counts.tolist(), self.null.tolist(), strict=True):
-            parts, have = [held], len(held)
-            while have < 4 * n:
-                parts.append(self.ids(k).tobytes())
-                have += len(parts[-1])
-                k += 1
-            every = b"".join(parts) if len(parts) > 1 else held
-            yield (None if null else doc_id), start, every[: 4 * n]
-            held = every[4 * n :]
+            parts, need = [], 4 * n
+            while need > 0:
+                if at == len(held):
+                    held, at, k = self.ids(k).tobytes(), 0, k + 1
+                parts.append(held[at : at + need])
+                at += len(parts[-1])
+                need -= len(parts[-1])
+            yield (None if null else doc_id), start, b"".join(parts)
             start += n
 
 
@@ -194,7 +194,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
         if out is not None:
             yield done()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions_for(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(partitions_for(spark, docs), "doc_id").sortWithinPartitions("doc_id", "text")
     files = materialize(ordered.mapInArrow(write, FILES), "files")
     total, start = 0, []
     for part, n in files.groupBy("part").agg(F.sum("n_ids")).orderBy("part").collect():
