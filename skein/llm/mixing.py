@@ -189,10 +189,13 @@ def fit_rates(members: DataFrame, targets: dict[str, float], budget: float | Non
         return np.array([s[d] - g if k in moved else 0.0 for k, (d, g) in enumerate(zip(domains, goal, strict=True))])
 
     steps: list[list[float]] = []
-    while len(steps) < most_steps:
+    while True:
         whole = now[domains[wanted]] / share[domains[wanted]] if budget is None else budget
         if all(abs(x) <= tolerance * max(share[d], 1e-3) * whole for d, x in zip(domains, residuals(now), strict=True)):
             break
+        if len(steps) >= most_steps:
+            warnings.warn(f"rates miss the targets by more than {tolerance} after {most_steps} steps: {residuals(now)} tokens", stacklevel=2)
+            break
         steps.append([*(inverse @ residuals(ahead)).tolist(), len(steps) / (len(steps) + 3)])
         now, ahead = totals(steps)
     return steps, now
