@@ -58,13 +58,15 @@ def labelled_sample(labels: DataFrame, most_rows: int) -> DataFrame:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, most_rows: int = 8000, lexicon: int = 200, least_docs: int = 5, least_lift: float = 1.5) -> tuple[dict[str, float], dict[str, list[float]], list[str]]:
-    """Bernoulli naive Bayes from labelled documents: (log prior of each domain if no lexicon mark is there, log-odds that each mark adds, domains that have labels).
+    """Logistic regression from labelled documents: (log-odds of each domain if no lexicon mark is there, what each mark adds to them, domains that have labels).
 
     Fitted on at most ``most_rows`` labelled rows. The ``lexicon`` marks that tell the
     domains apart best (chi-squared), among those of up to 64 characters in
     ``least_docs`` documents or more and with log-odds in some domain that differ by
-    ``least_lift`` or more from all documents' (common words of one language are weak
-    and not independent), are all that reaches the driver.
+    ``least_lift`` or more from all documents' (common words of one language are weak),
+    and the rows' numbers by the lexicon marks they have, at most ``most_rows`` sets, are
+    all that reaches the driver. Marks that go together share their weight, so many
+    weak ones together don't outweigh a domain's own (:func:`_regress`).
     """
     chosen = F.broadcast(labelled_sample(labels, most_rows))  # most_rows rows at most
     known = with_features(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("label_id"), "left_semi")).join(chosen, F.col("doc_id") == F.col("label_id"))
@@ -80,16 +82,60 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...]
     logit = lambda hit, of: F.log((hit + 0.5) / (of - hit + 0.5))
     lift = F.greatest(*[F.abs(logit(F.col(f"n{k}"), F.lit(float(n[k]))) - logit(df, F.lit(float(total)))) if n[k] else F.lit(0.0) for k in range(len(domains))], F.lit(0.0))
     best = per.withColumn("df", df).filter((F.col("df") >= least_docs) & (F.col("df") < total) & (lift >= least_lift)).withColumn("chi", chi / (p * (1 - p))).orderBy(F.desc("chi"), "mark").limit(lexicon).collect()
+    marks = [r.mark for r in best]
     absent = {d: math.log((prior[d] + 1) / (total + len(domains))) for d in domains}
-    weights: dict[str, list[float]] = {}
-    for r in best:
-        row = []
-        for k, d in enumerate(domains):
-            q = (r[f"n{k}"] + 0.5) / (n[k] + 1)
-            absent[d] += math.log(1 - q)
-            row.append(math.log(q) - math.log(1 - q))
-        weights[r.mark] = row
-    return absent, weights, [d for d in domains if prior[d] > 0]
+    present = [d for d in domains if prior[d] > 0]
+    if not marks or len(present) < 2:
+        return absent, {}, present
+    sets = known.groupBy("domain", F.array_sort(F.array_intersect("marks", F.array(*[F.lit(m) for m in marks]))).alias("hits")).agg(F.count("*").alias("n")).orderBy("domain", "hits").collect()
+    at, x = {m: k for k, m in enumerate(marks)}, np.zeros((len(sets), len(marks)))
+    for k, r in enumerate(sets):
+        x[k, [at[m] for m in r.hits]] = 1
+    bias, weight = _regress(x, np.array([present.index(r.domain) for r in sets]), np.array([float(r.n) for r in sets]), len(present))
+    absent |= {d: float(bias[k]) for k, d in enumerate(present)}
+    # a domain without labels stays as unlikely as its prior says
+    low = min(absent[d] for d in present) - math.log(total + len(domains))
+    absent |= {d: low for d in domains if d not in present}
+    return absent, {m: [float(weight[k, present.index(d)]) if d in present else 0.0 for d in domains] for k, m in enumerate(marks)}, present
+
+
+def _regress(x: np.ndarray, y: np.ndarray, n: np.ndarray, classes: int, penalty: float = 0.5, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
+    """Multinomial logistic regression of rows ``x`` with numbers ``n`` on classes ``y``, by Newton's method with halved steps where a whole one doesn't lower the loss: (bias of each class, [features, classes] weights, of squared size times ``penalty`` / 2)."""
+    m, f = x.shape
+    z = np.hstack([np.ones((m, 1)), x])
+    beta = np.zeros((f + 1, classes))
+    beta[0] = np.log(np.maximum(np.bincount(y, weights=n, minlength=classes), 0.5) / n.sum())
+    ridge = np.full(f + 1, penalty)
+    ridge[0] = 1e-3
+    want = np.eye(classes)[y]
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        logit = z @ at
+        logit -= logit.max(1, keepdims=True)
+        log_p = logit - np.log(np.exp(logit).sum(1, keepdims=True))
+        return float(0.5 * (ridge[:, None] * at**2).sum() - n @ (log_p * want).sum(1)), np.exp(log_p)
+
+    now, p = loss(beta)
+    for _ in range(steps):
+        grad = z.T @ (n[:, None] * (p - want)) + ridge[:, None] * beta
+        hess = np.zeros(((f + 1) * classes,) * 2)
+        for a in range(classes):
+            for b in range(a, classes):
+                w = n * p[:, a] * ((a == b) - p[:, b])
+                block = (z * w[:, None]).T @ z
+                rows, cols = slice(a * (f + 1), (a + 1) * (f + 1)), slice(b * (f + 1), (b + 1) * (f + 1))
+                hess[rows, cols] = block
+                hess[cols, rows] = block.T
+        hess[np.diag_indices_from(hess)] += np.tile(ridge, classes)
+        move = np.linalg.solve(hess, grad.T.ravel()).reshape(classes, f + 1).T
+        size = 1.0
+        while (after := loss(beta - size * move))[0] > now - 1e-4 * size * (grad * move).sum() and size > 1e-6:
+            size /= 2
+        beta = beta - size * move
+        now, p = after
+        if np.abs(size * move).max() < 1e-6:
+            break
+    return beta[0], beta[1:]
 
 
 def posteriors(docs: DataFrame, absent: dict[str, float], weights: dict[str, list[float]], *keep: Column) -> DataFrame:

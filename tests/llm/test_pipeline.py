@@ -40,7 +40,7 @@ def test_registry(spark):
 
 
 def slow_posterior(text, absent, weights):
-    """Naive Bayes of one text by a loop over its marks."""
+    """The classifier of one text by a loop over its marks."""
     row = mixing_marks(text)
     logs = {d: a + sum(weights[m][k] for m in row if m in weights) for k, (d, a) in enumerate(absent.items())}
     top = max(logs.values())
