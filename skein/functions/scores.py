@@ -6,11 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def entropy_term(p: Column) -> Column:
-    """-p ln p, 0 at 0."""
-    return F.when(p > 0, -p * F.log(p)).otherwise(0.0)
-
-
-def fisher_z(r: Column) -> Column:
-    """Inverse hyperbolic tangent of a correlation; null at -1 and 1."""
-    return F.when(F.abs(r) < 1, F.atanh(r))
+def entropy(n: Column) -> Column:
+    """Aggregate: entropy in nats of the distribution with counts ``n``, ln N - sum(n ln n) / N, so that no window has to find the shares first; null without counts, null ones don't count."""
+    total = F.sum(n)
+    spread = F.log(total) - F.sum(F.when(n > 0, n * F.log(n))) / total
+    return F.when(total > F.max(n), F.greatest(spread, F.lit(0.0))).when(total.isNotNull(), 0.0)

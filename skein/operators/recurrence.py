@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import entropy
 from ..plans.blocks import ensure_workers, in_one_task, length_distribution, meet, order_statistic, ratio, run_lengths
 from .graph import Graph
 
@@ -203,13 +204,11 @@ def white_lines(rp: DataFrame, points: DataFrame) -> DataFrame:
 def line_measures(dist: DataFrame, least: int = 2) -> DataFrame:
     """One row: ``share`` of points on lines of ``least`` or more, ``mean`` length, ``longest``, ``entropy``."""
     long = F.col("len") >= least
-    total = F.sum(F.when(long, F.col("cnt")).otherwise(0)).over(Window.partitionBy(F.lit(0)))
-    p = F.when(long, F.col("cnt") / F.nullif(total.cast("double"), F.lit(0.0)))
-    return dist.withColumn("p", p).agg(
+    return dist.agg(
         (F.sum(F.when(long, F.col("len") * F.col("cnt")).otherwise(0)) / (F.sum(F.col("len") * F.col("cnt")) + EPS)).alias("share"),
         (F.sum(F.when(long, F.col("len") * F.col("cnt")).otherwise(0)) / (F.sum(F.when(long, F.col("cnt")).otherwise(0)) + EPS)).alias("mean"),
         F.max("len").alias("longest"),
-        F.coalesce(F.sum(-F.col("p") * F.log("p")), F.lit(0.0)).alias("entropy"),
+        F.coalesce(entropy(F.when(long, F.col("cnt"))), F.lit(0.0)).alias("entropy"),
     )
 
 
@@ -275,9 +274,8 @@ def ordinal_patterns(emb: DataFrame) -> DataFrame:
 
 
 def permutation_entropy(emb: DataFrame, dim: int, normalize: bool = True) -> DataFrame:
-    p = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
-    top = math.log2(math.factorial(dim)) if normalize else 1.0
-    return ordinal_patterns(emb).withColumn("p", p).agg((-F.sum(F.col("p") * F.log2("p")) / top).alias("value"))
+    top = math.log(math.factorial(dim)) if normalize else math.log(2)
+    return ordinal_patterns(emb).agg((entropy(F.col("n")) / top).alias("value"))
 
 
 def complexity_entropy(emb: DataFrame, dim: int) -> DataFrame:
