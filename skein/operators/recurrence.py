@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,8 +89,15 @@ def legendre(ts: DataFrame, dim: int = 3, p: int | None = None, tau_w: float | N
     return windows.mapInPandas(fit, "i long, v array<double>")
 
 
-def distance(a: str, b: str, metric: str) -> Column:
-    """Of two array columns: ``supremum``, ``manhattan`` or ``euclidean``."""
+def distance(a: str, b: str, metric: str, dim: int | None = None) -> Column:
+    """Of two array columns: ``supremum``, ``manhattan`` or ``euclidean``. Up to 16 components (``dim``, if known) are written out, so that generated code computes them."""
+    if dim and dim <= 16:
+        parts = [F.abs(F.get(a, F.lit(k)) - F.get(b, F.lit(k))) for k in range(dim)]
+        if metric == "supremum":
+            return F.greatest(*parts) if dim > 1 else parts[0]
+        if metric == "manhattan":
+            return reduce(lambda s, x: s + x, parts)
+        return F.sqrt(reduce(lambda s, x: s + x, [x * x for x in parts]))
     d = F.zip_with(a, b, lambda x, y: F.abs(x - y))
     if metric == "supremum":
         return F.array_max(d)
@@ -101,7 +109,8 @@ def distance(a: str, b: str, metric: str) -> Column:
 def pair_distances(x: DataFrame, y: DataFrame, metric: str = "supremum", blocks: int | None = None) -> DataFrame:
     """``i, j, d`` of all pairs: the distance matrix itself is the result; null where a component is missing."""
     pairs = meet(x.select("i", F.col("v").alias("a")), "i", y.select(F.col("i").alias("j"), F.col("v").alias("b")), "j", blocks)
-    return pairs.select("i", "j", distance("a", "b", metric).alias("d"))
+    dim = max((r.n or 0 for v in (x, y) for r in v.agg(F.max(F.size("v")).alias("n")).collect()), default=0)  # a row each
+    return pairs.select("i", "j", distance("a", "b", metric, dim).alias("d"))
 
 
 def recurrences(x: DataFrame, threshold: float, metric: str = "supremum", y: DataFrame | None = None) -> DataFrame:
@@ -119,7 +128,7 @@ def recurrences(x: DataFrame, threshold: float, metric: str = "supremum", y: Dat
     for n, k in enumerate(wide):
         a = a.withColumn(f"_c{n}", F.explode(F.array(cell("a", k) - 1, cell("a", k), cell("a", k) + 1)))
         b = b.withColumn(f"_c{n}", cell("b", k))
-    return a.join(b.hint("merge"), [f"_c{n}" for n in range(len(wide))]).filter(distance("a", "b", metric) < threshold).select("i", "j")
+    return a.join(b.hint("merge"), [f"_c{n}" for n in range(len(wide))]).filter(distance("a", "b", metric, len(ranges)) < threshold).select("i", "j")
 
 
 def threshold_of_std(x: DataFrame, factor: float) -> DataFrame:

@@ -87,22 +87,28 @@ def order_statistic(values: DataFrame, column: str, place: Callable[[int], int],
     least and the largest value still in question and goes on with the bucket that
     holds the place, until it holds one value. Rounds are the logarithm of the
     values' spread to the base ``buckets``; the driver gets a row a bucket, no task
-    orders the values.
+    orders the values. Once a bucket has a hundredth of many values or less, these are
+    written, so that later rounds don't compute all of them again.
     """
     v = values.select(F.col(column).cast("double").alias("v")).filter("v is not null")
     row = v.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
     if not row.n:
         return None
-    lo, hi, want = row.lo, row.hi, min(max(int(place(row.n)), 0), row.n - 1)
+    lo, hi, left, want = row.lo, row.hi, row.n, min(max(int(place(row.n)), 0), row.n - 1)
+    whole = True
     while lo < hi:
+        if whole and row.n > 1_000_000 and 100 * left <= row.n:
+            v, whole = durable(v.filter(F.col("v").between(lo, hi)), "in_question", few_files=True), False
         width = hi / buckets - lo / buckets
         b = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)) if width > 0 else (F.col("v") > F.lit(lo)).cast("long")
         found = v.filter(F.col("v").between(lo, hi)).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
         for r in sorted(found, key=lambda r: r.b):
             if want < r.n:
-                lo, hi = r.lo, r.hi
+                lo, hi, left = r.lo, r.hi, r.n
                 break
             want -= r.n
+    if not whole:
+        discard(v)
     return lo
 
 
